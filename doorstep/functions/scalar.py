@@ -37,6 +37,15 @@ def shrunk_rate(successes: str | Column, trials: str | Column, prior: float = P.
         F.lit("shrunk_rate needs 0 <= successes <= trials"))).otherwise(value)
 
 
+def half_even_mean(money_sum: str | Column, count: str | Column) -> Column:
+    """Exact mean of a two-place decimal sum, half-even at two places, NULL without rows."""
+    cents, n = (_c(money_sum) * 100).cast("long"), _c(count)
+    rest = F.try_mod(cents, n)
+    whole = F.try_divide((cents - rest).cast("double"), n.cast("double")).cast("long")
+    up = (rest * 2 > n) | ((rest * 2 == n) & (F.pmod(whole, F.lit(2)) == 1))
+    return ((whole + up.cast("long")) * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(10,2)")
+
+
 def logistic(x: str | Column) -> Column:
     """Overflow-safe logistic."""
     x = _c(x)

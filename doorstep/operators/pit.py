@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import flag, raw_rate, ratio, rule_tier_m1, shrunk_rate
+from ..functions.scalar import flag, half_even_mean, raw_rate, rule_tier_m1, shrunk_rate
 
 INSTANT = ("placed", "cod", "value_sum", "success", "failure")
 RESOLUTION = ("resolved", "rto", "delivered")
@@ -130,8 +130,7 @@ def state_at_session(sessions: DataFrame, customers: DataFrame, orders: DataFram
         raw_rate("pit_payment_failure_count", attempts).cast(dec4)
         .alias("pit_payment_failure_rate"),
         F.date_diff("day", "last_order_day").alias("pit_days_since_last_order"),
-        F.bround(ratio("in_value_sum", "in_placed"), 2).cast("decimal(10,2)")
-        .alias("pit_avg_order_value"),
+        half_even_mean("in_value_sum", "in_placed").alias("pit_avg_order_value"),
         (placed > 0).alias("pit_has_history"), "pit_is_new_customer",
         ((F.col("pit_orders_delivered") >= 3) & (F.col("pit_rto_count") == 0))
         .alias("pit_has_clean_record"),
