@@ -157,10 +157,10 @@ class DesignMatrix:
         return self
 
     def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-        """``keep`` columns plus one scaled double per feature."""
+        """``keep`` columns packed in the struct ``row`` plus one scaled double per feature."""
         feats = self._features(df)
-        return df.select(*keep, *[((feats[n] - m) / s).alias(n)
-                                  for n, (m, s) in self.scale.items()])
+        return df.select(F.struct(*keep).alias("row"), *[((feats[n] - m) / s).alias(n)
+                                                         for n, (m, s) in self.scale.items()])
 
 
 # ---- causal design ---------------------------------------------------------------------

@@ -196,13 +196,13 @@ class Scorecard:
 
     def score(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
         scored = self.fit.score(self.design.transform(df, keep))
-        return scored.select(*keep, F.col("p").alias("score"))
+        return scored.select("row.*", F.col("p").alias("score"))
 
 
 def fit_scorecard(train: DataFrame, model: str) -> Scorecard:
     design = DesignMatrix(model).fit(train)
     data = design.transform(train, ["rto_flag"])
-    return Scorecard(design, fit_logit(data, flag("rto_flag"), design.columns))
+    return Scorecard(design, fit_logit(data, flag("row.rto_flag"), design.columns))
 
 
 # ---- rule baselines ---------------------------------------------------------------------------
@@ -245,7 +245,7 @@ def fit_challenger(data: DataFrame, label: str | Column, names: Sequence[str], *
                    key: str = "session_id", seed: int = 20260115, rounds: int = 400):
     """Gradient-boosted trees with a 15 % early-stopping share drawn by key hash."""
     y = (F.col(label) if isinstance(label, str) else label).cast("double")
-    hold = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(100)) < 15
+    hold = F.pmod(F.xxhash64(F.lit(seed), F.col(f"row.{key}")), F.lit(100)) < 15
     rows = _assembler(names)(data.withColumns({"_label": y, "_hold": hold})).select(
         "_label", "_features", "_hold").persist()
     gbt = GBTClassifier(labelCol="_label", featuresCol="_features", maxDepth=4, maxIter=rounds,
@@ -254,9 +254,9 @@ def fit_challenger(data: DataFrame, label: str | Column, names: Sequence[str], *
     model = gbt.fit(rows)
     rows.unpersist()
 
-    def score(df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    def score(df: DataFrame) -> DataFrame:
         out = model.transform(_assembler(names)(df))
-        return out.select(*keep, vector_to_array("probability")[1].alias("score"))
+        return out.select("row.*", vector_to_array("probability")[1].alias("score"))
     return model, score
 
 

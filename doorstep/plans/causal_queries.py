@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import causal, hypotheses as H, ranks, views
+from ..operators import causal, hypotheses as H, views
+from ..session import cut
 from .registry import register
 
 
+def population(m):
+    """Resolved orders with every confounder; each fit reads it several times."""
+    return cut(views.causal_population(m))
+
+
+def orders_of(m):
+    """All orders with state, dimensions and outcomes, for the hypotheses."""
+    return cut(views.hypothesis_population(m))
+
+
 def _two(select: str, a: str, b: str, *, by: str = "", where: str = "") -> str:
     """Two-group comparison text over ``(in_a, y)`` rows."""
     key = f"{by}, " if by else ""
@@ -39,20 +50,20 @@ register("h1_raw_crosstab", _two(
 
 @register("h1_stratified")
 def h1_stratified(m):
-    return causal.stratified(views.causal_population(m))
+    return causal.stratified(population(m))
 
 
-register("h1_logistic_adjusted")(lambda m: causal.logistic_adjusted(views.causal_population(m)))
-register("h1_propensity_matched")(lambda m: causal.propensity_matched(views.causal_population(m)))
+register("h1_logistic_adjusted")(lambda m: causal.logistic_adjusted(population(m)))
+register("h1_propensity_matched")(lambda m: causal.propensity_matched(population(m)))
 register("h1_suspect_ablation")(lambda m: causal.ablate_suspect(
-    views.causal_population(m), 9.99, 17.73))
+    population(m), 9.99, 17.73))
 register("h1_confounder_contributions")(lambda m: causal.confounder_contributions(
-    views.causal_population(m), 9.99, 17.73))
+    population(m), 9.99, 17.73))
 register("h1_latent_reconstructibility")(lambda m: causal.latent_reconstructibility(
-    views.causal_population(m), m["truth_customer_latent"]))
-register("gt_coefficient_recovery")(lambda m: causal.recovery_table(views.causal_population(m)))
+    population(m), m["truth_customer_latent"]))
+register("gt_coefficient_recovery")(lambda m: causal.recovery_table(population(m)))
 register("gt_recovery_summary")(lambda m: causal.recovery_summary(
-    ranks.cut(causal.recovery_table(views.causal_population(m)))))
+    cut(causal.recovery_table(population(m)))))
 
 # ---- matching over a score SQL can reproduce ------------------------------------------------
 _MATCH = """
@@ -105,18 +116,18 @@ _POP = """fct_order o JOIN fct_customer_state_at_session st ON st.session_id = o
 _NEW = (f"SELECT pit_is_new_customer AS in_a, geo_tier, CASE WHEN payment_method = 'COD' "
         f"THEN 1.0::double ELSE 0.0::double END AS y FROM {_POP}")
 register("h2_new_customer_cod", _two(_NEW, "cod_share_new", "cod_share_established"))(
-    lambda m: _ci8(H.new_customer_cod(views.hypothesis_population(m))))
+    lambda m: _ci8(H.new_customer_cod(orders_of(m))))
 register("h2_cod_by_tenure", f"""WITH b AS (SELECT CASE WHEN pit_orders_delivered = 0 THEN '0'
     WHEN pit_orders_delivered < 3 THEN '1-2' WHEN pit_orders_delivered < 6 THEN '3-5'
     WHEN pit_orders_delivered < 16 THEN '6-15' ELSE '16+' END AS bucket, payment_method
   FROM {_POP})
 SELECT bucket, count(*) AS orders,
   cast(count(*) FILTER (WHERE payment_method = 'COD') AS double) / count(*) AS cod_share
-FROM b GROUP BY bucket""")(lambda m: H.cod_by_tenure(views.hypothesis_population(m)))
+FROM b GROUP BY bucket""")(lambda m: H.cod_by_tenure(orders_of(m)))
 register("h2_within_tier", _two(
     _NEW, "cod_share_new", "cod_share_established", by="geo_tier",
     where="WHERE n_cod_share_new >= 30 AND n_cod_share_established >= 30"))(
-    lambda m: _ci8(H.new_customer_cod_within_tier(views.hypothesis_population(m))))
+    lambda m: _ci8(H.new_customer_cod_within_tier(orders_of(m))))
 register("h3_prior_rto_lift", f"""WITH c AS (
   SELECT count(*) FILTER (WHERE pit_rto_count > 0) AS n1,
     count(*) FILTER (WHERE pit_rto_count > 0 AND rto_flag) AS x1,
@@ -128,13 +139,13 @@ l AS (SELECT *, p1 / p0 AS lift, sqrt((1 - p1) / x1 + (1 - p0) / x0) AS se FROM
 SELECT n1 AS n_with_prior, n0 AS n_without, p1 AS rto_rate_with_prior, p0 AS rto_rate_without,
   lift, round(exp(ln(lift) - 1.96 * se), 8) AS ci_low,
   round(exp(ln(lift) + 1.96 * se), 8) AS ci_high FROM l""")(
-    lambda m: _ci8(H.prior_rto_lift(views.hypothesis_population(m))))
+    lambda m: _ci8(H.prior_rto_lift(orders_of(m))))
 register("h3_by_prior_count", f"""WITH g AS (SELECT least(pit_rto_count, 3) AS prior_rto,
   count(*) AS orders, count(*) FILTER (WHERE rto_flag) AS x
   FROM {_POP} WHERE is_shipped AND NOT is_censored GROUP BY 1)
 SELECT prior_rto, orders, cast(x AS double) / orders AS rto_rate,
   cast(x AS double) / orders / first_value(cast(x AS double) / orders) OVER (ORDER BY prior_rto)
-  AS lift_vs_zero FROM g""")(lambda m: H.rto_by_prior_count(views.hypothesis_population(m)))
+  AS lift_vs_zero FROM g""")(lambda m: H.rto_by_prior_count(orders_of(m)))
 _EDGES = ", ".join(f"quantile_cont(cast(order_value AS double), {i / 10}) AS e{i}"
                    for i in range(1, 10))
 register("h4_value_deciles", f"""WITH e AS (SELECT {_EDGES} FROM fct_order),
@@ -145,9 +156,9 @@ SELECT decile, count(*) AS orders, cast(count(*) FILTER (WHERE payment_method =
   / count(*) AS cod_share, quantile_cont(cast(order_value AS double), 0.5) AS median_value
 FROM b GROUP BY decile""")(lambda m: H.cod_by_value_decile(m["fct_order"]))
 register("h4_order_value_cod")(lambda m: H.order_value_cod(m["fct_order"]))
-register("h5a_ratings_on_cod")(lambda m: H.ratings_on_cod(views.hypothesis_population(m)))
+register("h5a_ratings_on_cod")(lambda m: H.ratings_on_cod(orders_of(m)))
 register("h5b_review_count_on_rto")(
-    lambda m: H.review_count_on_rto(views.hypothesis_population(m)))
+    lambda m: H.review_count_on_rto(orders_of(m)))
 register("h6_rto_by_promise", """
 SELECT estimated_delivery_days, count(*) AS orders,
   cast(count(*) FILTER (WHERE rto_flag) AS double) / count(*) AS rto_rate
@@ -167,9 +178,9 @@ SELECT count(*) FILTER (WHERE is_delivered AND delivery_delay_days IS NOT NULL)
   avg(ad) FILTER (WHERE rto_flag) AS mean_attempt_delay_returned FROM j""")(
     lambda m: H.delay_availability(m["fct_order"].join(
         views.first_attempt_delay(m), "order_id", "left")))
-register("h6_promise_effect")(lambda m: H.promise_effect(views.hypothesis_population(m)))
+register("h6_promise_effect")(lambda m: H.promise_effect(orders_of(m)))
 register("h6_deviance_comparison")(
-    lambda m: H.deviance_comparison(views.hypothesis_population(m)))
+    lambda m: H.deviance_comparison(orders_of(m)))
 register("h11_switch_cod", """
 WITH b AS (SELECT * FROM fct_order WHERE is_shipped AND NOT is_censored),
 s AS (SELECT count(*) FILTER (WHERE final_payment_method = 'COD') AS cod_orders,
@@ -189,4 +200,4 @@ SELECT cast(switched AS double) / cod_orders AS pct_of_cod_from_failure,
   round((a - q.b + 1.96 * sqrt(va / n1 + vb / n0)) * 100, 8) AS ci_high_pp,
   (SELECT avg(cast(rto_flag AS int)) FROM b WHERE payment_method <> 'COD') AS rto_rate_prepaid
 FROM q, s""")(lambda m: _ci8(H.switch_cod(m["fct_order"], m["fct_checkout_session"])))
-register("h12_prior_scoreboard")(lambda m: H.prior_scoreboard(views.hypothesis_population(m)))
+register("h12_prior_scoreboard")(lambda m: H.prior_scoreboard(orders_of(m)))

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from .. import params as P
 from ..functions.scalar import flag
 from ..operators import evaluate, features, models, policy, ranks, traces, views
+from ..session import cut
 from .registry import register
 
 
 def split_of(m):
-    view = views.training_input(m)
+    view = cut(views.training_input(m))
     clean, horizon = models.clean_window(view, m["fct_order"])
     return models.time_split(clean, horizon=horizon)
 
@@ -81,7 +82,7 @@ def design_redundancy(m):
 
 
 register("feature_medians")(lambda m: ranks.many_quantiles(
-    views.training_input(m), ["pit_avg_order_value", "pit_days_since_last_order",
+    cut(views.training_input(m)), ["pit_avg_order_value", "pit_days_since_last_order",
                               "pit_cod_share", "order_value"], [0.25, 0.5, 0.75]))
 register("feature_correlations")(lambda m: features.correlation_matrix(
     views.training_input(m).select(*[F.col(c).cast("double").alias(c) for c in (
@@ -142,7 +143,7 @@ def scorecard_regularised(m):
     train = split_of(m).train
     design = models.DesignMatrix("M1").fit(train)
     coef, intercept = models.fit_regularised(design.transform(train, ["rto_flag"]),
-                                             flag("rto_flag"), design.columns, 0.01)
+                                             flag("row.rto_flag"), design.columns, 0.01)
     rows = [("(intercept)", intercept), *coef.items()]
     return m.spark.createDataFrame(rows, "feature string, coefficient double")
 
@@ -153,8 +154,8 @@ def challenger_gbm(m):
     card, train, test = prepared(m, "M2")
     keep = ["session_id", "rto_flag"]
     tr, te = card.design.transform(train, keep), card.design.transform(test, keep)
-    _, score = models.fit_challenger(tr, flag("rto_flag"), card.design.columns)
-    a = evaluate.auc(score(te, keep), "score", "rto_flag")
+    _, score = models.fit_challenger(tr, flag("row.rto_flag"), card.design.columns)
+    a = evaluate.auc(score(te), "score", "rto_flag")
     b = evaluate.auc(card.score(test, keep), "score", "rto_flag")
     margin, ships = models.ship_rule(a, b)
     return m.spark.createDataFrame([(a, b, margin, ships)],
@@ -186,11 +187,12 @@ def geography_ablation(m, volume: float = 0.17):
     rows = []
     for name, gone in drops.items():
         names = [c for c in design.columns if c not in gone]
-        fit = models.fit_logit(tr, flag("rto_flag"), names)
-        scored = fit.score(te).select(*keep, F.col("p").alias("score"))
+        fit = models.fit_logit(tr, flag("row.rto_flag"), names)
+        scored = fit.score(te).select("row.*", F.col("p").alias("score")).persist()
         audit = policy.geo_audit(scored, [volume]).first()
         rows.append((name, len(names), evaluate.auc(scored, "score", "rto_flag"), audit.METRO,
                      audit.TIER3, audit.tier3_over_metro, audit.verdict))
+        scored.unpersist()
     for df in (tr, te, train, test):
         df.unpersist()
     return m.spark.createDataFrame(
@@ -215,7 +217,7 @@ def trace_reconstruction(m):
 
 
 register("audit_sample_summary")(lambda m: traces.audit_summary(
-    traces.audit_sample(traces.cut(traces.scored_sessions(m)))))
+    traces.audit_sample(cut(traces.scored_sessions(m)))))
 register("planted_effect")(lambda m: traces.planted_effect(traces.scored_sessions(m)))
 register("average_marginal_effect")(lambda m: traces.average_marginal_effect(
     traces.scored_sessions(m).where(F.col("p_rto_final").isNotNull()).select(
@@ -227,7 +229,7 @@ register("average_marginal_effect")(lambda m: traces.average_marginal_effect(
 @register("recalibrated_intercept")
 def recalibrated_intercept(m):
     """Shift that brings the mean return probability to its declared blended target."""
-    lp = traces.cut(traces.scored_sessions(m).where(F.col("p_rto_final").isNotNull())
+    lp = cut(traces.scored_sessions(m).where(F.col("p_rto_final").isNotNull())
                     .select("rto_lp"))
     target = P.CALIBRATION["rto_rate_blended"][0]
     r = traces.recalibrate(lp, "rto_lp", target, bracket=P.INTERCEPT_BRACKETS["rto"],

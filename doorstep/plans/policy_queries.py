@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import params as P
 from ..functions.scalar import flag, lookup, ratio
 from ..operators import economics, evaluate, policy, ranks, views
+from ..session import cut
 from .registry import register
 
 
@@ -24,9 +25,10 @@ def policy_frame(m):
     tier = lookup("geo_tier", {t: i for i, t in enumerate(P.GEO_TIERS)})
     points = (key * 7919) % 700 + F.when(F.col("payment_method") == "COD", 200).otherwise(0) \
         + 25 * tier
-    return j.select("session_id", "geo_tier", "payment_method", "rto_flag",
-                    "pit_has_clean_record", "pit_has_history", "contribution_margin",
-                    (points / F.lit(1000.0)).alias("score"))
+    # every audit reads the frame several times (thresholds, selection, totals)
+    return cut(j.select("session_id", "geo_tier", "payment_method", "rto_flag",
+                        "pit_has_clean_record", "pit_has_history", "contribution_margin",
+                        (points / F.lit(1000.0)).alias("score")))
 
 
 _VOL = "(VALUES (0.05), (0.10), (0.17), (0.25)) AS v(volume)"
