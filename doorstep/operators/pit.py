@@ -38,37 +38,52 @@ def failed_first_attempt() -> Column:
                | F.coalesce(F.col("abandon_step") == "PAYMENT_FAILURE", F.lit(False))))
 
 
-def counters_at_session(sessions: DataFrame, orders: DataFrame) -> DataFrame:
-    """In-window running counters per session id (pre-window seeds not added)."""
-    keyed = sessions.select("session_id", "customer_id", _second("session_start_ts"),
-                            F.col("date_id").alias("day"), "final_payment_method",
-                            failed_first_attempt().alias("failed_first"))
-    per_session = keyed.select(
-        "customer_id", "day", "ts", *_zeros("placed", "cod", "value_sum"),
-        F.coalesce(F.col("final_payment_method") == "PREPAID", F.lit(False)).cast("long")
-        .alias("success"), F.col("failed_first").cast("long").alias("failure"))
+def session_keys(sessions: DataFrame) -> DataFrame:
+    return sessions.select("session_id", "customer_id", _second("session_start_ts"),
+                           F.col("date_id").alias("day"))
+
+
+def instants(sessions: DataFrame, orders: DataFrame) -> DataFrame:
+    """Placements and payment results summed per customer and second."""
+    paid = F.coalesce(F.col("final_payment_method") == "PREPAID", F.lit(False))
+    per_session = sessions.select(
+        "customer_id", F.col("date_id").alias("day"), _second("session_start_ts"),
+        *_zeros("placed", "cod", "value_sum"), paid.cast("long").alias("success"),
+        failed_first_attempt().cast("long").alias("failure"))
     placements = orders.select(
         "customer_id", F.col("order_ts").cast("date").alias("day"), _second("order_ts"),
         F.lit(1).cast("long").alias("placed"),
         (F.col("payment_method") == "COD").cast("long").alias("cod"),
         F.col("order_value").cast("decimal(18,2)").alias("value_sum"),
         *_zeros("success", "failure"))
-    instants = (per_session.unionByName(placements).groupBy("customer_id", "day", "ts")
-                .agg(*[F.sum(c).alias(c) for c in INSTANT]))
-
-    resolutions = (
-        orders.where(F.col("outcome_resolved_date").isNotNull())
-        .select("customer_id", F.date_add("outcome_resolved_date", 1).alias("day"),
-                flag("rto_flag").cast("long").alias("rto"),
-                flag("is_delivered").cast("long").alias("delivered"))
-        .groupBy("customer_id", "day")
-        .agg(F.count(F.lit(1)).alias("resolved"), F.sum("rto").alias("rto"),
-             F.sum("delivered").alias("delivered")))
-    by_day = (instants.groupBy("customer_id", "day")
+    return _sum_instants(per_session.unionByName(placements))
+
+
+def _sum_instants(df: DataFrame) -> DataFrame:
+    return df.groupBy("customer_id", "day", "ts").agg(*[F.sum(c).alias(c) for c in INSTANT])
+
+
+def resolutions(orders: DataFrame) -> DataFrame:
+    """Outcomes summed per customer and the first day on which they may be known."""
+    return (orders.where(F.col("outcome_resolved_date").isNotNull())
+            .select("customer_id", F.date_add("outcome_resolved_date", 1).alias("day"),
+                    flag("rto_flag").cast("long").alias("rto"),
+                    flag("is_delivered").cast("long").alias("delivered"))
+            .groupBy("customer_id", "day")
+            .agg(F.count(F.lit(1)).alias("resolved"), F.sum("rto").alias("rto"),
+                 F.sum("delivered").alias("delivered")))
+
+
+def counters(keys: DataFrame, moments: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Running counters at each key of :func:`session_keys`.
+
+    ``moments`` must hold a row (zeros will do) for every key's customer and second.
+    """
+    by_day = (moments.groupBy("customer_id", "day")
               .agg(*[F.sum(c).alias(c) for c in INSTANT])
               .select("customer_id", "day", *INSTANT, *_zeros(*RESOLUTION),
                       F.when(F.col("placed") > 0, F.col("day")).alias("order_day")))
-    days = by_day.unionByName(resolutions, allowMissingColumns=True)
+    days = by_day.unionByName(outcomes, allowMissingColumns=True)
     days = days.groupBy("customer_id", "day").agg(
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in (*INSTANT, *RESOLUTION)],
         F.max("order_day").alias("order_day"))
@@ -84,7 +99,7 @@ def counters_at_session(sessions: DataFrame, orders: DataFrame) -> DataFrame:
 
     within = (Window.partitionBy("customer_id", "day").orderBy("ts")
               .rowsBetween(Window.unboundedPreceding, -1))
-    same_day = instants.select(
+    same_day = moments.select(
         "customer_id", "day", "ts",
         *[F.coalesce(F.sum(c).over(within), F.lit(0)).alias(f"day_{c}") for c in INSTANT])
     state = same_day.join(opening, ["customer_id", "day"]).select(
@@ -93,8 +108,12 @@ def counters_at_session(sessions: DataFrame, orders: DataFrame) -> DataFrame:
         *[f"in_{c}" for c in RESOLUTION],
         F.when(F.col("day_placed") > 0, F.col("day")).otherwise(F.col("open_order_day"))
         .alias("last_order_day"))
-    return keyed.select("session_id", "customer_id", "day", "ts").join(
-        state, ["customer_id", "day", "ts"])
+    return keys.join(state, ["customer_id", "day", "ts"])
+
+
+def counters_at_session(sessions: DataFrame, orders: DataFrame) -> DataFrame:
+    """In-window running counters per session id (pre-window seeds not added)."""
+    return counters(session_keys(sessions), instants(sessions, orders), resolutions(orders))
 
 
 def state_at_session(sessions: DataFrame, customers: DataFrame, orders: DataFrame) -> DataFrame:

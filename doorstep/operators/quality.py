@@ -496,7 +496,7 @@ def conditional_sweep(t: Tables, tables: Iterable[str], present: float = 0.99,
                       absent: float = 0.01) -> DataFrame:
     """Columns filled on one side of an outcome partition and empty on the other.
 
-    Per table one wide aggregate counts every column on both sides of every partition.
+    Per table one aggregate over outcome combinations counts every column at once.
     """
     orders = t["fct_order"]
     sides = _partitions()
@@ -508,22 +508,22 @@ def conditional_sweep(t: Tables, tables: Iterable[str], present: float = 0.99,
             continue
         cols = [c for c in grain.columns if c != "order_id"]
         j = outcome.join(grain, "order_id", "left")
-        aggs = []
-        for p in sides:
-            on, off = F.coalesce(F.col(f"_p_{p}"), F.lit(False)), F.coalesce(
-                ~F.col(f"_p_{p}"), F.lit(False))
-            aggs += [F.count_if(on).alias(f"n1|{p}"), F.count_if(off).alias(f"n0|{p}")]
-            for c in cols:
-                aggs += [F.count_if(on & flag(c)).alias(f"x1|{p}|{c}"),
-                         F.count_if(off & flag(c)).alias(f"x0|{p}|{c}")]
-        one = j.agg(*aggs)
-        cells = F.array(*[F.struct(
-            F.lit(name).alias("table"), F.lit(c).alias("column"), F.lit(p).alias("partition"),
-            F.col(f"`n1|{p}`").alias("n_on"), F.col(f"`n0|{p}`").alias("n_off"),
-            ratio(F.col(f"`x1|{p}|{c}`"), F.col(f"`n1|{p}`")).alias("rate_on"),
-            ratio(F.col(f"`x0|{p}|{c}`"), F.col(f"`n0|{p}`")).alias("rate_off"))
-            for p in sides for c in cols])
-        rows = one.select(F.inline(cells))
+        # a handful of outcome combinations carry everything the five partitions need
+        combos = j.groupBy(*[f"_p_{p}" for p in sides]).agg(
+            F.count(F.lit(1)).alias("_n"), *[F.count_if(flag(c)).alias(c) for c in cols])
+        cells = F.array(*[F.struct(F.lit(p).alias("partition"), F.col(f"_p_{p}").alias("side"))
+                          for p in sides])
+        per_column = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("x"))
+                               for c in cols])
+        long = combos.select("_n", per_column.alias("cs"), F.inline(cells)).where(
+            F.col("side").isNotNull()).select("_n", "partition", "side", F.inline("cs"))
+        on = F.col("side")
+        rows = long.groupBy("column", "partition").agg(
+            F.sum(F.when(on, F.col("_n"))).alias("n_on"),
+            F.sum(F.when(~on, F.col("_n"))).alias("n_off"),
+            ratio(F.sum(F.when(on, F.col("x"))), F.sum(F.when(on, F.col("_n")))).alias("rate_on"),
+            ratio(F.sum(F.when(~on, F.col("x"))), F.sum(F.when(~on, F.col("_n"))))
+            .alias("rate_off")).select(F.lit(name).alias("table"), "*")
         out = rows if out is None else out.unionByName(rows)
     hi, lo = F.greatest("rate_on", "rate_off"), F.least("rate_on", "rate_off")
     both = F.col("rate_on").isNotNull() & F.col("rate_off").isNotNull()
