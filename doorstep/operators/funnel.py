@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .. import params as P
@@ -16,8 +16,11 @@ from ..functions.scalar import flag, ratio, tenure_bucket
 from .views import resolved, rto_base
 
 Tables = Mapping[str, DataFrame]
-ALL = Window.partitionBy()
-STEP_ORDER = Window.orderBy("step_no")
+
+
+def _all() -> WindowSpec:
+    """Every row of an already aggregated, handful-of-rows result."""
+    return Window.partitionBy()
 
 
 def _n(cond: Column, name: str) -> Column:
@@ -66,7 +69,7 @@ def funnel_steps(t: Tables) -> DataFrame:
 def step_conversion(t: Tables) -> DataFrame:
     """Q1b: each step over the step before it (six rows)."""
     return funnel_steps(t).withColumn("step_conversion",
-                                      ratio("n", F.lag("n").over(STEP_ORDER)))
+                                      ratio("n", F.lag("n").over(Window.orderBy("step_no"))))
 
 
 def conversions(t: Tables) -> DataFrame:
@@ -100,8 +103,8 @@ def abandon_steps(t: Tables) -> DataFrame:
     lost = F.col("abandon_step").isNotNull()
     return g.select(
         F.coalesce("abandon_step", F.lit("CONVERTED")).alias("step"), "sessions",
-        ratio("sessions", F.sum("sessions").over(ALL)).alias("pct_of_sessions"),
-        F.when(lost, ratio("sessions", F.sum(F.when(lost, F.col("sessions"))).over(ALL)))
+        ratio("sessions", F.sum("sessions").over(_all())).alias("pct_of_sessions"),
+        F.when(lost, ratio("sessions", F.sum(F.when(lost, F.col("sessions"))).over(_all())))
         .alias("pct_of_abandons"))
 
 
@@ -126,7 +129,7 @@ def rto_by_method(t: Tables) -> DataFrame:
     g = rto_base(t).groupBy("payment_method").agg(
         F.count(F.lit(1)).alias("resolved_orders"), _n(rto, "rto_orders"),
         _money(rto, "rto_economic_cost", "cost"), _money(rto, "rto_cash_loss", "cash"))
-    base = F.sum("resolved_orders").over(ALL)
+    base = F.sum("resolved_orders").over(_all())
     return g.select(
         "payment_method", "resolved_orders", ratio("resolved_orders", base)
         .alias("share_of_resolved"), "rto_orders",
@@ -154,8 +157,8 @@ def avoidability(t: Tables) -> DataFrame:
         F.sum("rto_economic_cost").cast("double").alias("total_cost"))
     return g.select(
         "rto_reason_class", "rto_orders",
-        ratio("rto_orders", F.sum("rto_orders").over(ALL)).alias("share_of_rto_count"),
-        "total_cost", ratio("total_cost", F.sum("total_cost").over(ALL))
+        ratio("rto_orders", F.sum("rto_orders").over(_all())).alias("share_of_rto_count"),
+        "total_cost", ratio("total_cost", F.sum("total_cost").over(_all()))
         .alias("share_of_rto_cost"), ratio("total_cost", "rto_orders").alias("avg_cost_per_rto"))
 
 
@@ -202,8 +205,8 @@ def reason_shares(t: Tables) -> DataFrame:
         F.sum("rto_economic_cost").cast("double").alias("total_cost"),
         _n(F.col("payment_method") == "COD", "cod_orders"),
         F.sum("order_value").cast("double").alias("value"))
-    count_share = ratio("orders", F.sum("orders").over(ALL))
-    cost_share = ratio("total_cost", F.sum("total_cost").over(ALL))
+    count_share = ratio("orders", F.sum("orders").over(_all()))
+    cost_share = ratio("total_cost", F.sum("total_cost").over(_all()))
     g = g.withColumns({"count_share": count_share, "cost_share": cost_share})
     return g.select(
         "rto_reason_class", "rto_reason", "orders", "count_share", "total_cost", "cost_share",
