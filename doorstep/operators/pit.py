@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import flag, half_even_mean, raw_rate, rule_tier_m1, shrunk_rate
+from ..session import cut
 
 INSTANT = ("placed", "cod", "value_sum", "success", "failure")
 RESOLUTION = ("resolved", "rto", "delivered")
@@ -79,13 +80,13 @@ def counters(keys: DataFrame, moments: DataFrame, outcomes: DataFrame) -> DataFr
 
     ``moments`` must hold a row (zeros will do) for every key's customer and second.
     """
-    by_day = (moments.groupBy("customer_id", "day")
-              .agg(*[F.sum(c).alias(c) for c in INSTANT])
-              .select("customer_id", "day", *INSTANT, *_zeros(*RESOLUTION),
-                      F.when(F.col("placed") > 0, F.col("day")).alias("order_day")))
-    days = by_day.unionByName(outcomes, allowMissingColumns=True)
+    placed_day = F.when(F.col("placed") > 0, F.col("day")).alias("order_day")
+    days = moments.select("customer_id", "day", *INSTANT, *_zeros(*RESOLUTION), placed_day)
+    days = days.unionByName(outcomes.select(
+        "customer_id", "day", *_zeros(*INSTANT), *RESOLUTION,
+        F.lit(None).cast("date").alias("order_day")))
     days = days.groupBy("customer_id", "day").agg(
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in (*INSTANT, *RESOLUTION)],
+        *[F.sum(c).alias(c) for c in (*INSTANT, *RESOLUTION)],
         F.max("order_day").alias("order_day"))
 
     over_days = Window.partitionBy("customer_id").orderBy("day")
@@ -113,7 +114,9 @@ def counters(keys: DataFrame, moments: DataFrame, outcomes: DataFrame) -> DataFr
 
 def counters_at_session(sessions: DataFrame, orders: DataFrame) -> DataFrame:
     """In-window running counters per session id (pre-window seeds not added)."""
-    return counters(session_keys(sessions), instants(sessions, orders), resolutions(orders))
+    # read by the day totals and by the seconds of each day
+    moments = cut(instants(sessions, orders))
+    return counters(session_keys(sessions), moments, resolutions(orders))
 
 
 def state_at_session(sessions: DataFrame, customers: DataFrame, orders: DataFrame) -> DataFrame:

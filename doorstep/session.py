@@ -21,7 +21,30 @@ def build_session(app: str = "doorstep", master: str | None = None, **conf: str)
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    tune(spark)
+    return spark
+
+
+def tune(spark: SparkSession) -> None:
+    """Runtime settings the wide expressions need, where the session left the default.
+
+    Above 8,000 bytes the JVM does not compile a generated method and interprets it, which
+    costs more than leaving whole-stage generation for that operator.
+    """
+    key = "spark.sql.codegen.hugeMethodLimit"
+    if spark.conf.get(key) == "65535":
+        spark.conf.set(key, "8000")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin an input that arrives in fewer splits than there are cores.
+
+    Large inputs already have more splits than that and pass through untouched; filters and
+    column pruning still reach the scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .. import params as P
 from ..schemas import schema
+from ..session import cut, spread, tune
 
 RAW = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -260,8 +261,10 @@ class DriverModel(Mapping):
     """Lazy mapping from canonical table name to DataFrame over ``sf_dir``."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        tune(spark)
         self.spark, self.sf_dir = spark, sf_dir
         self._built: dict[str, DataFrame] = {}
+        self._kept: set[str] = set()
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._built:
@@ -276,10 +279,22 @@ class DriverModel(Mapping):
         from ..schemas import COLUMNS
         return len(COLUMNS)
 
+    def _materialise(self, name: str) -> None:
+        """Write ``name`` once for this model; tables derived from it are rebuilt on it.
+
+        The state needs orders and sessions several times over, and the join behind them
+        should run once.
+        """
+        if name not in self._kept:
+            self._built = {t: df for t, df in self._built.items() if t in RAW}
+            self._built[name] = cut(self[name])
+            self._kept.add(name)
+
     def _build(self, name: str) -> DataFrame:
         from ..operators import calendar, economics, events, pit, rollup, traces
         if name in RAW:
-            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            return spread(df) if name in ("orders", "lineitem", "events") else df
         if name in SQL:
             text = SQL[name]
             used = {t: self[t] for t in (*RAW, *SQL) if t != name and _mentions(text, t)}
@@ -292,6 +307,7 @@ class DriverModel(Mapping):
             df = rollup.customer_rollup(self["customer_base"], self["fct_order"],
                                         self["fct_order_economics"])
         elif name == "fct_customer_state_at_session":
+            self._materialise("order_base")
             df = pit.state_at_session(self["fct_checkout_session"], self["customer_base"],
                                       self["fct_order"])
         elif name == "fct_order_economics":
