@@ -200,6 +200,13 @@ def frozen_reasons_hash() -> str:
     return hashlib.sha256(json.dumps(body, sort_keys=True).encode()).hexdigest()
 
 
+def frozen_reasons_check(spark) -> DataFrame:
+    """CAL-10 row: the weights in force are the approved ones."""
+    now = frozen_reasons_hash()
+    return check(spark.range(1), "CAL-10", "return-reason weights are frozen", "HARD",
+                 F.lit(now == P.REASONS_SHA256), P.REASONS_SHA256[:16], F.lit(now[:16]))
+
+
 def selection_share(effect: DataFrame) -> DataFrame:
     """CAL-11 on a ``planted_effect`` row; a gap that is not positive fails."""
     lo, hi = P.SELECTION_SHARE_BAND

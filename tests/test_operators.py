@@ -354,8 +354,11 @@ def test_selection_share_needs_a_positive_gap(spark):
     assert (f(15.0, 10.0), f(15.0, 14.0), f(-1.0, 1.0)) == ("PASS", "FAIL", "FAIL")
 
 
-def test_reason_weights_are_frozen():
-    assert Q.frozen_reasons_hash() == Q.frozen_reasons_hash()
+def test_reason_weights_are_frozen(spark, monkeypatch):
+    assert Q.frozen_reasons_check(spark).first().status == "PASS"
+    monkeypatch.setitem(P.REASON_DRIVERS["OTHER_UNCLASSIFIED"], "latent_intent_z", 0.1)
+    assert Q.frozen_reasons_check(spark).first().status == "FAIL"
+    monkeypatch.undo()
     assert sum(v[0] for v in P.REASONS.values()) == pytest.approx(1.0)
 
 
