@@ -21,9 +21,12 @@ PART = "_range"
 
 
 def ranged(df: DataFrame, *order: str) -> DataFrame:
-    """``df`` in range partitions over ``order``, with the partition number, checkpointed."""
-    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return cut(df.repartitionByRange(n, *order).withColumn(PART, F.spark_partition_id()))
+    """``df`` in range partitions over ``order``, with the partition number, checkpointed.
+
+    The number of ranges follows the session; adaptive execution may merge neighbouring
+    small ranges, which keeps their order.
+    """
+    return cut(df.repartitionByRange(*order).withColumn(PART, F.spark_partition_id()))
 
 
 def prefix_sums(df: DataFrame, order: Sequence[str], sums: Sequence[str],

@@ -14,6 +14,8 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 def spark():
     s = build_session(master="local[4]", **{
         "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false",
+        # keep several ranges alive on small data
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
         "spark.driver.memory": "6g", "spark.ui.showConsoleProgress": "false"})
     s.sparkContext.setLogLevel("ERROR")
     yield s
