@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, pieces, topk
+from . import chat, lines, pieces, quality, substrings, topk
 
 QUERIES = {
+    "op1_line_dedup": lines.op1_line_dedup,
+    "op2_substring_dedup": substrings.op2_substring_dedup,
     "op3_chat_formatting": chat.op3_chat_formatting,
     "op4_sentencepiece": pieces.op4_sentencepiece,
+    "op6_quality_classifier": quality.op6_quality_classifier,
     "op7_exact_topk": topk.op7_exact_topk,
 }
-ORACLES = {"op3_chat_formatting": chat.OP3_SQL, "op7_exact_topk": topk.OP7_SQL}
+ORACLES = {"op1_line_dedup": lines.OP1_SQL, "op2_substring_dedup": substrings.OP2_SQL, "op3_chat_formatting": chat.OP3_SQL, "op7_exact_topk": topk.OP7_SQL}

@@ -25,6 +25,8 @@ from .common import table
 
 #: Candidates and queries in a block: 1024 x 256 scores of 8 bytes stay in a core's cache.
 CANDIDATES, QUERIES = 1024, 256
+#: Tasks over which the candidates of one query block are spread.
+SALTS = 16
 
 
 def weights(vector: Column, scale: int = 256) -> Column:
@@ -96,7 +98,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     asked = queries.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("b")).agg(
         F.collect_list(F.struct("vec_id", "w")).alias("q"))
     packed = vectors.mapInArrow(_blocks, "ids binary, row binary, dim binary, weight binary")
-    met = packed.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(asked, "b")
+    spread = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = packed.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn(
+        "salt", F.pmod(F.xxhash64("ids"), F.lit(SALTS)).cast("int")).join(spread, ["b", "salt"])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
