@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +19,22 @@ from ..session import checkpoint_dir, cut
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def shipped(spark: SparkSession) -> None:
+    """Gives the package to Python workers that can't import it, once for each Spark context."""
+    sc = spark.sparkContext
+    root = Path(__file__).resolve().parents[2]
+    name = f"{Path(__file__).parents[1].name}.zip"
+    if any(f.endswith(name) for f in sc.listFiles):
+        return
+    path = Path(tempfile.mkdtemp()) / name  # of the driver, whose file server hands it out
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(Path(__file__).parents[1].rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(str(path))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    shipped(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -35,9 +35,9 @@ KEY = ["_k1", "_k2"]
 
 
 def line_rows(keyed: DataFrame) -> DataFrame:
-    """(_k1, _k2, _id, pos, h1, h2): lines that aren't blank, numbered within their document."""
+    """(_k1, _k2, _id, pos, line, h1, h2): lines that aren't blank, numbered within their document."""
     lines = F.filter(F.transform(F.split("_text", "\n"), lambda s, i: F.struct(i.alias("line"), s.alias("s"))),
-                     lambda x: F.trim(F.regexp_replace(x["s"], r"\s", "")) != "")
+                     lambda x: x["s"].rlike(r"\S"))
     return keyed.select(*KEY, "_id", F.posexplode(lines).alias("pos", "x")).select(
         *KEY, "_id", "pos", F.col("x.line").alias("line"), F.xxhash64("x.s").alias("h1"),
         F.xxhash64(F.lit(1), "x.s").alias("h2"))
@@ -76,7 +76,7 @@ def at_length(levels: list[DataFrame], length: int) -> DataFrame | None:
 
 
 def later_copies(rows: DataFrame, min_lines: int) -> DataFrame | None:
-    """(_k1, _k2, gone, shared): places of deleted lines, and the greatest power of two of lines
+    """(_k1, _k2, gone, shared_lines): numbers of deleted lines, and the greatest power of two of lines
     that starts at one of them and is found elsewhere too."""
     levels = suffix_ranks(rows)
     least = at_length(levels, min_lines)
@@ -89,40 +89,32 @@ def later_copies(rows: DataFrame, min_lines: int) -> DataFrame | None:
     longest = spans.groupBy(*KEY, "pos").agg(F.max("n").alias("n"))
     past = W.partitionBy(*KEY).orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
     fresh = longest.withColumn("reached", F.coalesce(F.max(F.col("pos") + F.col("n")).over(past), F.lit(0))).withColumn(
-        "from", F.greatest("pos", "reached")).withColumn("to", F.col("pos") + F.col("n"))
-    piece = F.when(F.col("to") > F.col("from"), F.sequence(F.col("from"), F.col("to") - 1)).otherwise(
-        F.array().cast("array<int>"))
-    return fresh.groupBy(*KEY).agg(F.flatten(F.collect_list(piece)).alias("gone"), F.max("n").alias("shared"))
+        "from", F.greatest("pos", "reached")).withColumn("to", F.col("pos") + F.col("n")).where("to > from")
+    places = fresh.select(*KEY, "n", F.explode(F.sequence(F.col("from"), F.col("to") - 1)).alias("pos"))
+    # equal rows have equal lines, so a place of theirs names one line
+    return places.join(rows.select(*KEY, "pos", "line"), [*KEY, "pos"]).groupBy(*KEY).agg(
+        F.collect_set("line").alias("gone"), F.max("n").cast("long").alias("shared_lines"))
 
 
 def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with later copies of repeated runs deleted from the text, and what was deleted."""
-    new = ("n_lines", "n_removed", "shared_lines")
-    source = docs.drop(*new)
+    source = docs.drop("n_lines", "n_removed", "shared_lines")
     body = F.col(text).cast("string")
     keyed = source.select(*row_key(F.col(doc_id), body), F.col(doc_id).alias("_id"), body.alias("_text"))
-    rows = line_rows(keyed)
-    gone = later_copies(staged(rows.drop("line"), "lines"), min_lines)
-    if gone is None:
-        return source.withColumns({
-            "n_lines": F.coalesce(F.size(F.split(body, "\n")), F.lit(0)).cast("long"),
-            "n_removed": F.lit(0).cast("long"), "shared_lines": F.lit(0).cast("long")})
-    marks = gone.select(*KEY, "gone", F.col("shared").cast("long").alias("shared_lines"))
-    joined = source.select("*", *row_key(F.col(doc_id), body)).join(marks, KEY, "left").drop(*KEY)
-    lines = F.split(body, "\n")
-    # places count lines that aren't blank; a line's number is the place of its own
-    full = F.filter(F.sequence(F.lit(0), F.size(lines) - 1),
-                    lambda i: F.regexp_replace(F.get(lines, i), r"\s", "") != "")
-    numbers = F.transform("gone", lambda p: F.get(F.col("_full"), p))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_numbers"))
+    marks = later_copies(staged(line_rows(keyed), "lines"), min_lines)
+    # inline makes the split text a column, so that the expressions below don't split it again
+    split = source.select("*", *row_key(F.col(doc_id), body), F.inline(F.array(F.struct(F.split(body, "\n").alias("_lines")))))
+    if marks is None:
+        joined = split.withColumns({"gone": F.lit(None).cast("array<int>"), "shared_lines": F.lit(None).cast("long")})
+    else:
+        joined = split.join(marks, KEY, "left")
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("gone"))
     cleaned = F.array_join(F.transform(stay, lambda i: F.get(F.col("_lines"), i)), "\n")
-    return (joined.withColumn("_lines", lines).withColumn("_full", F.when(F.col("gone").isNotNull(), full))
-            .withColumn("_numbers", numbers)
-            .withColumn(text, F.when(F.col("gone").isNull(), body).otherwise(cleaned))
-            .withColumn("n_lines", F.coalesce(F.size("_lines"), F.lit(0)).cast("long"))
-            .withColumn("n_removed", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
-            .withColumn("shared_lines", F.coalesce("shared_lines", F.lit(0).cast("long")))
-            .drop("_lines", "_full", "_numbers", "gone"))
+    return joined.withColumns({
+        text: F.when(F.col("gone").isNull(), body).otherwise(cleaned),
+        "n_lines": F.coalesce(F.size("_lines"), F.lit(0)).cast("long"),
+        "n_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("long"),
+        "shared_lines": F.coalesce("shared_lines", F.lit(0).cast("long"))}).drop("_lines", "gone", *KEY)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,12 +7,12 @@ same small share to every shingle at any corpus size. ``BANDS`` bands of ``ROWS`
 (a shingle and the step of its weight) bring together texts of similarity 0.8 with a probability
 of 1 - (1 - 0.8**3)**10 = 0.9992, more alike texts with a higher one.
 
-Equal texts are one node. Within a bucket every text is verified against the bucket's least one;
-then against one of those that this left over; whatever then isn't in the component of the
-first is verified against every member of another component, except where the distances
-already known rule a link out (1 - weighted Jaccard is a metric). So a group of thousands of near
-copies costs one comparison for each, and no link is lost that a bucket could show, except
-between members of one component, where it changes nothing.
+Equal texts are one node. Within a bucket every text is verified against the one that meets most
+others over all bands, so a group of thousands of near copies costs one comparison for each.
+Texts of a bucket that are then not in one component go through an exact similarity join by
+prefixes: shingles are ordered from the rarest, and only texts that share a shingle of the first
+fifth of their weight are verified. That loses no link between texts of a bucket, except between
+members of one component, where it changes nothing.
 
 Defined results: null texts and texts without words have no shingles; they are alike only if
 equal. Rows that repeat are in one class. The class id is the least document id of the class
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Words, blob_sum, by_size, components, mixed, staged, table, windows
@@ -164,47 +165,53 @@ def similarities(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFra
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a string, b string, s double")
 
 
-def _against(members: DataFrame, leaders: DataFrame) -> DataFrame:
-    """(a, b) of bucket members and the leader of their bucket; a pair is named once."""
-    return members.join(leaders, ["band", "key"]).where("node <> leader").select(
-        F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
-
-
-def linked(members: DataFrame, texts: DataFrame, idf: np.ndarray, similar: float) -> tuple[DataFrame, DataFrame]:
-    """Verified links (a, b, s) and components (id, class) of the bucket members (band, key, node)."""
-    def judged(pairs: DataFrame, name: str) -> DataFrame:
-        return staged(similarities(pairs, texts, idf), name)
-    tested = judged(_against(members, members.groupBy("band", "key").agg(F.min("node").alias("leader"))), "first-pairs")
-    groups = components(tested.where(F.col("s") >= similar))
-
-    def placed() -> DataFrame:
-        """Members with their component, in buckets that hold more than one."""
-        own = members.join(groups, members.node == groups.id, "left").select(
-            "band", "key", "node", F.coalesce("class", "node").alias("class"))
-        heads = own.groupBy("band", "key").agg(F.min(F.struct("node", "class")).alias("h"),
-                                               F.min("class").alias("c1"), F.max("class").alias("c2"))
-        return staged(own.join(heads.where("c1 <> c2"), ["band", "key"]).select(
-            "band", "key", "node", "class", F.col("h.node").alias("head"), F.col("h.class").alias("main")), "placed")
-    split = placed()
-    second = split.where("class <> main").groupBy("band", "key").agg(F.min(F.struct("node", "class")).alias("l"))
-    pairs = _against(split.join(second.select("band", "key", F.col("l.class").alias("lc")), ["band", "key"]).where(
-        "class <> lc").select("band", "key", "node"), second.select("band", "key", F.col("l.node").alias("leader")))
-    tested = tested.union(judged(pairs.join(tested, ["a", "b"], "left_anti"), "second-pairs"))
-    groups = components(tested.where(F.col("s") >= similar))
-    split = placed()
-    # distances to the head of the bucket rule out most of what is left
-    far = tested.select("a", "b", (1 - F.col("s")).alias("d"))
-    to_head = split.join(far.union(far.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).select(
-        F.col("a").alias("node"), F.col("b").alias("head"), "d"), ["node", "head"], "left").select(
-        "band", "key", "node", "class", "main", "d")
-    rest, every = to_head.where("class <> main").alias("x"), to_head.alias("y")
-    pairs = rest.join(every, ["band", "key"]).where(
-        (F.col("x.class") != F.col("y.class")) & (F.col("x.node") != F.col("y.node"))
-        & ~F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) > 1 - similar + 1e-9, F.lit(False))).select(
-        F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
-    tested = tested.union(judged(pairs.join(tested, ["a", "b"], "left_anti"), "last-pairs"))
+def prefixes(texts: DataFrame, idf: np.ndarray, similar: float) -> DataFrame:
+    """(node, class, aside, id): shingles of which two texts share one if they are similar enough.
+
+    In one order of all shingles, rarest among these texts first, a text's prefix ends where what
+    follows weighs less than ``similar`` of the whole; the first shingle two similar texts share
+    is in both prefixes.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_size(BATCH)(batches):
+            found = Shingles(batch.column("_text"))
+            row = pa.array(found.row)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node").take(row), batch.column("class").take(row), batch.column("aside").take(row),
+                 pa.array(found.ids.view(np.int64)), pa.array(found.weights(idf).astype(np.float64))],
+                ["node", "class", "aside", "id", "w"])
+    rows = staged(texts.mapInArrow(run, "node string, class string, aside boolean, id bigint, w double"), "shingles")
+    rare = rows.groupBy("id").agg(F.count("*").alias("n"))
+    order = W.partitionBy("node").orderBy(F.desc("n"), F.desc("id")).rowsBetween(W.unboundedPreceding, 0)
+    whole = W.partitionBy("node")
+    return rows.join(rare, "id").withColumns({"rest": F.sum("w").over(order), "all": F.sum("w").over(whole)}).where(
+        F.col("rest") >= similar * F.col("all") - 1e-6).select("node", "class", "aside", "id")
+
+
+def linked(members: DataFrame, texts: DataFrame, idf: np.ndarray, similar: float) -> DataFrame:
+    """Verified links (a, b, s) among the members (band, key, node) of buckets."""
+    sizes = members.groupBy("band", "key").agg(F.count("*").alias("n"))
+    company = members.join(sizes, ["band", "key"]).groupBy("node").agg(F.sum("n").alias("n"))
+    central = members.join(company, "node").groupBy("band", "key").agg(F.max(F.struct("n", "node")).alias("c")).select(
+        "band", "key", F.col("c.node").alias("leader"))
+    led = staged(members.join(central, ["band", "key"]), "led")
+    tested = staged(similarities(led.where("node <> leader").select(
+        F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct(), texts, idf), "first-pairs")
     links = tested.where(F.col("s") >= similar)
-    return links, components(links)
+    groups = components(links)
+    own = led.join(groups, led.node == groups.id, "left").select(
+        "band", "key", "node", "leader", F.coalesce("class", "node").alias("class"))
+    main = own.where("node = leader").select("band", "key", F.col("class").alias("main"))
+    split = own.join(main, ["band", "key"]).groupBy("band", "key").agg(
+        F.max((F.col("class") != F.col("main")).cast("int")).alias("apart")).where("apart = 1")
+    rest = own.join(main, ["band", "key"]).join(split, ["band", "key"], "left_semi").groupBy("node").agg(
+        F.first("class").alias("class"), F.max(F.col("class") != F.col("main")).alias("aside"))
+    short = staged(prefixes(texts.join(rest, "node"), idf, similar), "prefixes")
+    x, y = short.where("aside").alias("x"), short.alias("y")
+    pairs = x.join(y, "id").where(F.col("x.class") != F.col("y.class")).select(
+        F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
+    more = staged(similarities(pairs.join(tested, ["a", "b"], "left_anti"), texts, idf), "last-pairs")
+    return links.union(more.where(F.col("s") >= similar))
 
 
 def node(t1: str = "_t1", t2: str = "_t2") -> Column:
@@ -227,7 +234,7 @@ def text_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     asked = members.select("node").distinct().join(drawn.select("node", "_t1", "_t2"), "node")
     texts = staged(docs.select("_t1", "_t2", "_text").join(asked, ["_t1", "_t2"]).groupBy("_t1", "_t2").agg(
         F.first("node").alias("node"), F.first("_text").alias("_text")).select("node", "_text"), "texts")
-    return linked(members, texts, idf, similar)[1].select(F.col("id").alias("node"), "class")
+    return components(linked(members, texts, idf, similar)).select(F.col("id").alias("node"), "class")
 
 
 def classes(docs: DataFrame, similar: float = SIMILAR, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

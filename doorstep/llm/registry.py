@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, lines, neardup, pieces, quality, substrings, topk
+from . import chat, decontam, licenses, lines, neardup, pieces, quality, substrings, topk
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -11,6 +11,8 @@ QUERIES = {
     "op4_sentencepiece": pieces.op4_sentencepiece,
     "op6_quality_classifier": quality.op6_quality_classifier,
     "op7_exact_topk": topk.op7_exact_topk,
+    "op8_decontamination": decontam.op8_decontamination,
+    "op9_license_scan": licenses.op9_license_scan,
     "op10_minhash_neardup": neardup.op10_minhash_neardup,
 }
 ORACLES = {"op1_line_dedup": lines.OP1_SQL, "op2_substring_dedup": substrings.OP2_SQL, "op3_chat_formatting": chat.OP3_SQL, "op7_exact_topk": topk.OP7_SQL}
