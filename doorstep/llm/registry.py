@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, licenses, lines, neardup, pieces, quality, substrings, topk
+from . import chat, decontam, licenses, lines, lmscore, neardup, pieces, quality, substrings, topk
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
     "op2_substring_dedup": substrings.op2_substring_dedup,
     "op3_chat_formatting": chat.op3_chat_formatting,
     "op4_sentencepiece": pieces.op4_sentencepiece,
+    "op5_lm_scoring": lmscore.op5_lm_scoring,
     "op6_quality_classifier": quality.op6_quality_classifier,
     "op7_exact_topk": topk.op7_exact_topk,
     "op8_decontamination": decontam.op8_decontamination,
