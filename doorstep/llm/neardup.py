@@ -166,11 +166,11 @@ def similarities(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFra
 
 
 def prefixes(texts: DataFrame, idf: np.ndarray, similar: float) -> DataFrame:
-    """(node, class, aside, id): shingles of which two texts share one if they are similar enough.
+    """(node, class, aside, id, rest, all): shingles of which two texts share one if they are similar enough.
 
     In one order of all shingles, rarest among these texts first, a text's prefix ends where what
     follows weighs less than ``similar`` of the whole; the first shingle two similar texts share
-    is in both prefixes.
+    is in both prefixes, and from there on both weigh as much as they must share.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(BATCH)(batches):
@@ -185,7 +185,7 @@ def prefixes(texts: DataFrame, idf: np.ndarray, similar: float) -> DataFrame:
     order = W.partitionBy("node").orderBy(F.desc("n"), F.desc("id")).rowsBetween(W.unboundedPreceding, 0)
     whole = W.partitionBy("node")
     return rows.join(rare, "id").withColumns({"rest": F.sum("w").over(order), "all": F.sum("w").over(whole)}).where(
-        F.col("rest") >= similar * F.col("all") - 1e-6).select("node", "class", "aside", "id")
+        F.col("rest") >= similar * F.col("all") - 1e-6).select("node", "class", "aside", "id", "rest", "all")
 
 
 def linked(members: DataFrame, texts: DataFrame, idf: np.ndarray, similar: float) -> DataFrame:
@@ -208,7 +208,8 @@ def linked(members: DataFrame, texts: DataFrame, idf: np.ndarray, similar: float
         F.first("class").alias("class"), F.max(F.col("class") != F.col("main")).alias("aside"))
     short = staged(prefixes(texts.join(rest, "node"), idf, similar), "prefixes")
     x, y = short.where("aside").alias("x"), short.alias("y")
-    pairs = x.join(y, "id").where(F.col("x.class") != F.col("y.class")).select(
+    shared = similar / (1 + similar) * (F.col("x.all") + F.col("y.all")) - 1e-6
+    pairs = x.join(y, "id").where((F.col("x.class") != F.col("y.class")) & (F.least("x.rest", "y.rest") >= shared)).select(
         F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
     more = staged(similarities(pairs.join(tested, ["a", "b"], "left_anti"), texts, idf), "last-pairs")
     return links.union(more.where(F.col("s") >= similar))
