@@ -30,12 +30,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import cut
 from .common import Words, by_size, staged, table, text_of
 
-DEPTH = 6
-BATCH = 16_000_000
+DEPTH = 5
+BATCH = 6_000_000
 END = 10
+#: Context bytes that keep strings together in a task.
+TOP = 2
 
 
 def coded(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -46,10 +47,10 @@ def coded(words: Words) -> tuple[np.ndarray, np.ndarray]:
     starts = total[words.first] + np.arange(len(words.first))
     out = np.full(int(starts[-1]), 32, np.uint8)
     row = np.repeat(np.arange(len(counts)), counts)
-    inside = np.zeros(len(words.data) + 1, np.int64)
-    np.add.at(inside, words.starts, 1)
-    np.add.at(inside, words.ends, -1)
-    used = np.cumsum(inside[:-1]) > 0
+    inside = np.zeros(len(words.data) + 1, np.int8)
+    inside[words.starts] += 1  # a row may start a word where the one before it ends
+    inside[words.ends] -= 1
+    used = np.cumsum(inside[:-1], dtype=np.int8) > 0
     word = np.repeat(np.arange(len(lengths)), lengths - 1)
     # byte n of the used ones moves on by the blanks and end bytes before it
     out[np.arange(int(used.sum())) + word + row[word]] = words.data[used]
@@ -60,13 +61,14 @@ def coded(words: Words) -> tuple[np.ndarray, np.ndarray]:
 
 def strings(body: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """For each byte the DEPTH bytes before it and itself in one number; end bytes stand before a text."""
-    n = len(body)
     out = body.astype(np.int64)
-    place = np.arange(n) - np.repeat(starts[:-1], np.diff(starts))
     for d in range(1, DEPTH + 1):
-        before = np.concatenate([np.full(d, END, np.uint8), body[:n - d]])[:n]
-        before = np.where(place < d, END, before)
-        out |= before.astype(np.int64) << (8 * d)
+        out[d:] |= body[:-d].astype(np.int64) << (8 * d)
+    for place in range(DEPTH):  # what stands before a text is not the text before it
+        at = starts[:-1][np.diff(starts) > place] + place
+        known = 256 ** (place + 1) - 1
+        ends = sum(END << (8 * d) for d in range(place + 1, DEPTH + 1))
+        out[at] = out[at] & known | ends
     return out
 
 
@@ -100,65 +102,96 @@ def batches(docs: DataFrame) -> DataFrame:
         strings array<struct<h:bigint,c:bigint>>""")
 
 
-def _log_gamma(x: Column) -> Column:
+def _log_gamma(x: np.ndarray) -> np.ndarray:
     """Stirling's series for x + 8, brought back to x > 0."""
     y = x + 8
-    product = x
-    for k in range(1, 8):
-        product = product * (x + k)
-    return (y - 0.5) * F.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y * y * y) - F.log(product)
+    product = np.multiply.reduce([x + k for k in range(8)])
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y ** 3) - np.log(product)
 
 
-def _block(n0: Column, n1: Column) -> Column:
+def block(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     """Log of the Krichevsky-Trofimov probability of a sequence with these counts."""
-    return _log_gamma(n0 + 0.5) + _log_gamma(n1 + 0.5) - _log_gamma(n0 + n1 + 1.0) - 1.1447298858494002
-
-
-def _decisions(rows: DataFrame) -> DataFrame:
-    """``rows`` (ctx, sym) once for each bit of sym: ``at`` names the bits before it, after a one."""
-    one = F.array(*[F.struct(F.expr(f"shiftright(256 | sym, {8 - k})").alias("at"), F.expr(f"shiftright(sym, {7 - k}) & 1").alias("bit"))
-                    for k in range(8)])
-    return rows.select("*", F.explode(one).alias("x")).select("*", "x.at", "x.bit").drop("x")
-
-
-def tree(counts: DataFrame) -> list[DataFrame]:
-    """For each depth (ctx, at, p1, own): the node's probability of a one and its weight."""
-    level = counts.where("c > 0").select(F.expr("shiftright(h, 8)").alias("ctx"), F.expr("cast(h & 255 as int)").alias("sym"), "c")
-    out: list[DataFrame] = []
-    below: DataFrame | None = None
-    for depth in range(DEPTH, -1, -1):
-        level = level.withColumn("ctx", F.col("ctx").bitwiseAND(256 ** depth - 1)).groupBy("ctx", "sym").agg(F.sum("c").alias("c"))
-        level = cut(level)
-        nodes = _decisions(level).groupBy("ctx", "at").agg(
-            F.sum(F.when(F.col("bit") == 0, F.col("c")).otherwise(0)).cast("double").alias("n0"),
-            F.sum(F.when(F.col("bit") == 1, F.col("c")).otherwise(0)).cast("double").alias("n1"))
-        nodes = nodes.select("ctx", "at", ((F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1)).alias("p1"),
-                             _block(F.col("n0"), F.col("n1")).alias("kt"))
-        if below is None:
-            nodes = nodes.withColumn("mix", F.col("kt")).withColumn("own", F.lit(1.0))
-        else:
-            children = below.groupBy(F.col("ctx").bitwiseAND(256 ** depth - 1).alias("ctx"), "at").agg(F.sum("mix").alias("deeper"))
-            top = F.greatest("kt", "deeper")
-            nodes = nodes.join(children, ["ctx", "at"]).withColumn(
-                "mix", top + F.log((F.exp(F.col("kt") - top) + F.exp(F.col("deeper") - top)) / 2)).withColumn(
-                "own", F.exp(F.col("kt") - F.log(F.lit(2.0)) - F.col("mix"))).drop("deeper")
-        below = cut(nodes)
-        out.append(below.select("ctx", "at", "p1", "own"))
-    return out[::-1]
+    return _log_gamma(n0 + 0.5) + _log_gamma(n1 + 0.5) - _log_gamma(n0 + n1 + 1.0) - np.log(np.pi)
+
+
+class Subtrees:
+    """Nodes of depth ``TOP`` and more of the strings of one task, every string eight decisions.
+
+    ``TOP`` bytes of context stay together in a task; what is above is summed up from the tasks.
+    """
+
+    def __init__(self, h: np.ndarray, c: np.ndarray):
+        k = np.arange(8)
+        sym, context = (h & 255)[:, None], (h >> 8)[:, None]
+        self.at = ((256 | sym) >> (8 - k)).ravel()
+        self.bit = ((sym >> (7 - k)) & 1).ravel()
+        weight = np.repeat(c, 8).astype(np.float64)
+        self.levels = {}
+        below = None
+        for depth in range(DEPTH, TOP - 1, -1):
+            code, names = pd.factorize(((context & (256 ** depth - 1)) << 8 | self.at.reshape(-1, 8)).ravel())
+            n1 = np.bincount(code, weights=weight * self.bit, minlength=len(names))
+            n = np.bincount(code, weights=weight, minlength=len(names))
+            kt = block(n - n1, n1)
+            first = np.empty(len(names), np.int64)
+            first[code[::-1]] = np.arange(len(code))[::-1]
+            if below is None:
+                mix, own = kt, np.ones(len(names))
+            else:
+                mix = np.logaddexp(kt, np.bincount(code[below[0]], weights=below[1], minlength=len(names))) - np.log(2)
+                own = np.exp(kt - np.log(2) - mix)
+            below = first, mix
+            self.levels[depth] = code, names, n - n1, n1, mix, own
+
+    def probabilities(self) -> np.ndarray:
+        """Of each decision, as the nodes of depth TOP see it."""
+        p = np.full(len(self.bit), 0.5)
+        for depth in range(DEPTH, TOP - 1, -1):
+            code, _, n0, n1, _, own = self.levels[depth]
+            one = ((n1 + 0.5) / (n0 + n1 + 1))[code]
+            p = own[code] * np.where(self.bit == 1, one, 1 - one) + (1 - own[code]) * p
+        return p
+
+
+def _gathered(parts: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    got = [(x.column("h").to_numpy(), x.column("c").to_numpy()) for x in parts]
+    return tuple(np.concatenate([g[i] for g in got]) if got else np.zeros(0, np.int64) for i in (0, 1))
 
 
 def string_scores(counts: DataFrame) -> DataFrame:
-    """(h, s): log10 of the probability of the last byte of each string after the others."""
-    levels = tree(counts)
-    rows = _decisions(counts.select("h", F.expr("shiftright(h, 8)").alias("long"), F.expr("cast(h & 255 as int)").alias("sym")))
-    p = F.lit(0.5)
-    for depth in range(DEPTH, -1, -1):
-        node = levels[depth].select(F.col("ctx").alias("ctx"), "at", F.col("p1").alias(f"p{depth}"), F.col("own").alias(f"w{depth}"))
-        rows = rows.withColumn("ctx", F.col("long").bitwiseAND(256 ** depth - 1)).join(node, ["ctx", "at"], "left").drop("ctx")
-        here = F.when(F.col("bit") == 1, F.col(f"p{depth}")).otherwise(1 - F.col(f"p{depth}"))
-        # a context that training never saw says 1/2
-        p = F.when(F.col(f"w{depth}").isNull(), F.lit(0.5)).otherwise(F.col(f"w{depth}") * here + (1 - F.col(f"w{depth}")) * p)
-    return rows.withColumn("p", p).groupBy("h").agg(F.sum(F.log10("p")).alias("s"))
+    """(h, s): log10 of the probability of the last byte of each string (h, c) after the others."""
+    dealt = counts.repartition(F.shiftright("h", 8).bitwiseAND(256 ** TOP - 1))
+
+    def roots(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, c = _gathered(parts)
+        if len(h):
+            _, names, n0, n1, mix, _ = Subtrees(h, c).levels[TOP]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (names, n0, n1, mix)], ["name", "n0", "n1", "mix"])
+    nodes = dealt.mapInArrow(roots, "name bigint, n0 double, n1 double, mix double")
+    # a name is a context of TOP bytes and then the bits; what is left are 256 x 256 nodes at most
+    upper = nodes.groupBy(F.col("name").bitwiseAND(65535).alias("name")).agg(
+        *[F.sum(x).alias(x) for x in ("n0", "n1", "mix")]).toPandas()
+    table_ = np.zeros((3, 65536))
+    table_[:, upper["name"].to_numpy(np.int64)] = upper[["n0", "n1", "mix"]].to_numpy().T
+    tops = []
+    for _ in range(TOP):
+        kt = block(table_[0], table_[1])
+        mix = np.logaddexp(kt, table_[2]) - np.log(2)
+        tops.append(((table_[1] + 0.5) / (table_[0] + table_[1] + 1), np.exp(kt - np.log(2) - mix)))
+        table_ = np.stack([x.reshape(-1, 256).sum(axis=0) for x in (table_[0], table_[1], mix)])
+
+    def logs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, c = _gathered(parts)
+        if not len(h):
+            return
+        tree = Subtrees(h, c)
+        p = tree.probabilities()
+        names = ((np.repeat(h >> 8, 8) & 255) << 8) | tree.at
+        for one, own in tops:
+            at = names & (len(one) - 1)
+            p = own[at] * np.where(tree.bit == 1, one[at], 1 - one[at]) + (1 - own[at]) * p
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.log10(p).reshape(-1, 8).sum(axis=1))], ["h", "s"])
+    return dealt.mapInArrow(logs, "h bigint, s double")
 
 
 def scored(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -174,7 +207,7 @@ def scored(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
     grams = packed.select("batch", F.posexplode("strings").alias("i", "w")).select("batch", "i", "w.h", "w.c")
     totals = staged(grams.groupBy("h").agg(F.sum("c").alias("c")), "string-counts")
     known = staged(string_scores(totals), "string-scores")
-    by_string = grams.join(known, "h").groupBy("batch").agg(F.collect_list(F.struct("i", "s")).alias("string_scores"))
+    by_string = grams.join(known.hint("shuffle_hash"), "h").groupBy("batch").agg(F.collect_list(F.struct("i", "s")).alias("string_scores"))
     whole = by_batch.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     ends = rows.where(~F.col("held_out")).count()
     n, v = (whole["n"] or 0) + ends, (whole["v"] or 0) + (1 if ends else 0)
