@@ -8,8 +8,12 @@ the longest contexts to none, half for a node's own and half for the product of
 the resulting weights give every byte its probability, and log2 of it, summed, the code length.
 
 Texts are packed into batches. Each batch names its distinct words and its distinct byte strings
-of a context and what follows, gets for each the count or the log probability by joins, and
-adds them up. Nothing is broadcast, and what is exchanged grows with the texts.
+of a context and what follows, gets for each the count or the log probability, and adds them up.
+Strings travel as lists: those of a batch that share the last ``TOP`` bytes of context are one
+row, meet the lists of other batches in the task of that context, and go back with a log
+probability each. A task folds lists as they come, so it holds the distinct strings of one
+context and not their copies. Nothing is broadcast but 65,536 nodes of the top, and what is
+exchanged grows with the texts.
 
 Defined results: null texts count as empty; an empty text is one end token and one end byte. Rows
 with a null id are held out by no remainder, so they are trained on. Repeated rows are rows of
@@ -37,6 +41,10 @@ BATCH = 6_000_000
 END = 10
 #: Context bytes that keep strings together in a task.
 TOP = 2
+#: Bytes of a string that its context of TOP bytes leaves open.
+OPEN = DEPTH + 1 - TOP
+#: Strings of small contexts that a task works on at a time, and copies it holds before it folds them.
+STRINGS, COPIES = 250_000, 2_000_000
 
 
 def coded(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -60,18 +68,52 @@ def coded(words: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def strings(body: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """For each byte the DEPTH bytes before it and itself in one number; end bytes stand before a text."""
+    """For each byte the DEPTH bytes before it, the nearest first, and itself in one number.
+
+    End bytes stand before a text."""
     out = body.astype(np.int64)
     for d in range(1, DEPTH + 1):
-        out[d:] |= body[:-d].astype(np.int64) << (8 * d)
+        out[d:] |= body[:-d].astype(np.int64) << (8 * (DEPTH + 1 - d))
     for place in range(DEPTH):  # what stands before a text is not the text before it
         at = starts[:-1][np.diff(starts) > place] + place
-        known = 256 ** (place + 1) - 1
-        ends = sum(END << (8 * d) for d in range(place + 1, DEPTH + 1))
-        out[at] = out[at] & known | ends
+        before = 8 * (DEPTH - place)
+        ends = sum(END << (8 * d) for d in range(1, DEPTH + 1 - place))
+        out[at] = out[at] >> before << before | ends | out[at] & 255
     return out
 
 
+def ordered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and the place of each value among them."""
+    code, known = pd.factorize(values)
+    order = np.argsort(known)
+    place = np.empty(len(known), np.int64)
+    place[order] = np.arange(len(known))
+    return known[order], place[code]
+
+
+def planes(x: np.ndarray, width: int) -> bytes:
+    """The ``width`` low bytes of whole numbers, all first bytes first, which compress well."""
+    return x.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def numbers(planed: pa.Scalar, width: int) -> np.ndarray:
+    got = np.frombuffer(planed.as_buffer(), np.uint8).reshape(width, -1)
+    out = np.zeros((got.shape[1], 8), np.uint8)
+    out[:, :width] = got.T
+    return out.view("<i8").ravel()
+
+
+def lists(known: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Strings in order, cut where the context of TOP bytes changes: context ``b``, keys, counts."""
+    top = known >> (8 * OPEN)
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(top)) + 1, [len(known)]])
+    spans = list(zip(cuts[:-1], cuts[1:])) if len(known) else []
+    return pa.StructArray.from_arrays(
+        [pa.array([int(top[i]) for i, _ in spans], pa.int32()),
+         pa.array([planes(known[i:j], OPEN) for i, j in spans], pa.binary()),
+         pa.array([planes(counts[i:j], 4) for i, j in spans], pa.binary())], ["b", "k", "c"])
+
+
 def batches(docs: DataFrame) -> DataFrame:
     """One row for each batch: ids and marks, the coded texts, distinct words and strings with
     their counts in training documents."""
@@ -84,22 +126,22 @@ def batches(docs: DataFrame) -> DataFrame:
             train = ~batch.column("held_out").to_numpy(zero_copy_only=False)
             word_train = np.repeat(train, np.diff(words.first))
             byte_train = np.repeat(train, np.diff(starts))
-            lists = []
-            for values, used in ((words.hashes.view(np.int64), word_train), (strings(body, starts), byte_train)):
-                code, known = pd.factorize(values)
-                lists.append(pa.ListArray.from_arrays(pa.array([0, len(known)], pa.int32()), pa.StructArray.from_arrays(
-                    [pa.array(known), pa.array(np.bincount(code, weights=used, minlength=len(known)).astype(np.int64))],
-                    ["h", "c"])))
+            code, named = pd.factorize(words.hashes.view(np.int64))
+            of_words = pa.StructArray.from_arrays([pa.array(named), pa.array(np.bincount(
+                code, weights=word_train, minlength=len(named)).astype(np.int64))], ["h", "c"])
+            known, code = ordered(strings(body, starts))
+            of_strings = lists(known, np.bincount(code, weights=byte_train, minlength=len(known)).astype(np.int64))
+            held = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (of_words, of_strings)]
             ends = pa.array([0, batch.num_rows], pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([uuid.uuid4().hex]), pa.ListArray.from_arrays(ends, batch.column("doc_id")),
+                [pa.array([uuid.uuid4().int >> 65]), pa.ListArray.from_arrays(ends, batch.column("doc_id")),
                  pa.ListArray.from_arrays(ends, batch.column("held_out")),
                  pa.array([starts.astype(np.int64).tobytes()], pa.binary()),
-                 pa.array([zstandard.compress(body.tobytes(), 3)], pa.binary()), *lists],
+                 pa.array([zstandard.compress(body.tobytes(), 3)], pa.binary()), *held],
                 ["batch", "ids", "held", "starts", "body", "words", "strings"])
-    return docs.select("doc_id", "held_out", "_text").mapInArrow(run, f"""batch string, ids array<{kind}>,
+    return docs.select("doc_id", "held_out", "_text").mapInArrow(run, f"""batch bigint, ids array<{kind}>,
         held array<boolean>, starts binary, body binary, words array<struct<h:bigint,c:bigint>>,
-        strings array<struct<h:bigint,c:bigint>>""")
+        strings array<struct<b:int,k:binary,c:binary>>""")
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -122,14 +164,14 @@ class Subtrees:
 
     def __init__(self, h: np.ndarray, c: np.ndarray):
         k = np.arange(8)
-        sym, context = (h & 255)[:, None], (h >> 8)[:, None]
+        sym = (h & 255)[:, None]
         self.at = ((256 | sym) >> (8 - k)).ravel()
         self.bit = ((sym >> (7 - k)) & 1).ravel()
         weight = np.repeat(c, 8).astype(np.float64)
         self.levels = {}
         below = None
         for depth in range(DEPTH, TOP - 1, -1):
-            code, names = pd.factorize(((context & (256 ** depth - 1)) << 8 | self.at.reshape(-1, 8)).ravel())
+            code, names = pd.factorize((h[:, None] >> (8 * (DEPTH + 1 - depth)) << 8 | self.at.reshape(-1, 8)).ravel())
             n1 = np.bincount(code, weights=weight * self.bit, minlength=len(names))
             n = np.bincount(code, weights=weight, minlength=len(names))
             kt = block(n - n1, n1)
@@ -153,24 +195,74 @@ class Subtrees:
         return p
 
 
-def _gathered(parts: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-    got = [(x.column("h").to_numpy(), x.column("c").to_numpy()) for x in parts]
-    return tuple(np.concatenate([g[i] for g in got]) if got else np.zeros(0, np.int64) for i in (0, 1))
+def _folded(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    known, place = ordered(np.concatenate(keys))
+    return known, np.bincount(place, weights=np.concatenate(counts), minlength=len(known)).astype(np.int64)
 
 
-def string_scores(counts: DataFrame) -> DataFrame:
-    """(h, s): log10 of the probability of the last byte of each string (h, c) after the others."""
-    dealt = counts.repartition(F.shiftright("h", 8).bitwiseAND(256 ** TOP - 1))
+def _rows(rows: Iterator[tuple], schema: pa.Schema, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Record batches of about ``size`` bytes of the binary values in ``rows``."""
+    held, bytes_ = [], 0
+    for row in rows:
+        held.append(row)
+        bytes_ += 16 + sum(len(x) for x in row if isinstance(x, bytes))
+        if bytes_ >= size:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held), schema)], schema=schema)
+            held, bytes_ = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held), schema)], schema=schema)
 
+
+def string_counts(asked: DataFrame) -> DataFrame:
+    """(b, k, c): a row for each context of TOP bytes, its distinct strings and their counts in all batches."""
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def whole() -> Iterator[tuple]:
+            now, keys, counts, size = None, [], [], 0
+            for part in parts:
+                for b, k, c in zip(*[part.column(x) for x in "bkc"]):
+                    if b.as_py() != now:
+                        if keys:
+                            known, total = _folded(keys, counts)
+                            yield now, planes(known, OPEN), planes(total, 8)
+                        now, keys, counts, size = b.as_py(), [], [], 0
+                    keys.append(numbers(k, OPEN))
+                    counts.append(numbers(c, 4))
+                    size += len(keys[-1])
+                    if size >= COPIES:
+                        known, total = _folded(keys, counts)
+                        keys, counts, size = [known], [total], 0
+            if keys:
+                known, total = _folded(keys, counts)
+                yield now, planes(known, OPEN), planes(total, 8)
+        return _rows(whole(), pa.schema([("b", pa.int32()), ("k", pa.binary()), ("c", pa.binary())]))
+    return asked.select("b", "k", "c").repartition("b").sortWithinPartitions("b").mapInArrow(run, "b int, k binary, c binary")
+
+
+def _gathered(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[int], np.ndarray, np.ndarray]]:
+    """Contexts, how many strings each has, the strings and their counts, many contexts at a time."""
+    tops, keys, counts = [], [], []
+    for part in parts:
+        for b, k, c in zip(*[part.column(x) for x in "bkc"]):
+            tops.append(b.as_py())
+            keys.append(numbers(k, OPEN) | tops[-1] << (8 * OPEN))
+            counts.append(numbers(c, 8))
+            if sum(map(len, keys)) >= STRINGS:
+                yield tops, list(map(len, keys)), np.concatenate(keys), np.concatenate(counts)
+                tops, keys, counts = [], [], []
+    if tops:
+        yield tops, list(map(len, keys)), np.concatenate(keys), np.concatenate(counts)
+
+
+def string_scores(totals: DataFrame) -> DataFrame:
+    """(b, k, s): for each context its strings and log10 of the probability of their last bytes."""
     def roots(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, c = _gathered(parts)
-        if len(h):
+        for _, _, h, c in _gathered(parts):
             _, names, n0, n1, mix, _ = Subtrees(h, c).levels[TOP]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (names, n0, n1, mix)], ["name", "n0", "n1", "mix"])
-    nodes = dealt.mapInArrow(roots, "name bigint, n0 double, n1 double, mix double")
-    # a name is a context of TOP bytes and then the bits; what is left are 256 x 256 nodes at most
-    upper = nodes.groupBy(F.col("name").bitwiseAND(65535).alias("name")).agg(
-        *[F.sum(x).alias(x) for x in ("n0", "n1", "mix")]).toPandas()
+            upper = pd.DataFrame({"name": names >> 16 << 8 | names & 255, "n0": n0, "n1": n1, "mix": mix})
+            yield pa.RecordBatch.from_pandas(upper.groupby("name", as_index=False).sum(), preserve_index=False)
+    nodes = totals.mapInArrow(roots, "name bigint, n0 double, n1 double, mix double")
+    # a name is now a context of one byte and then the bits: 256 x 256 nodes at most
+    upper = nodes.groupBy("name").agg(*[F.sum(x).alias(x) for x in ("n0", "n1", "mix")]).toPandas()
     table_ = np.zeros((3, 65536))
     table_[:, upper["name"].to_numpy(np.int64)] = upper[["n0", "n1", "mix"]].to_numpy().T
     tops = []
@@ -181,17 +273,37 @@ def string_scores(counts: DataFrame) -> DataFrame:
         table_ = np.stack([x.reshape(-1, 256).sum(axis=0) for x in (table_[0], table_[1], mix)])
 
     def logs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, c = _gathered(parts)
-        if not len(h):
-            return
-        tree = Subtrees(h, c)
-        p = tree.probabilities()
-        names = ((np.repeat(h >> 8, 8) & 255) << 8) | tree.at
-        for one, own in tops:
-            at = names & (len(one) - 1)
-            p = own[at] * np.where(tree.bit == 1, one[at], 1 - one[at]) + (1 - own[at]) * p
-        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.log10(p).reshape(-1, 8).sum(axis=1))], ["h", "s"])
-    return dealt.mapInArrow(logs, "h bigint, s double")
+        def whole() -> Iterator[tuple]:
+            for contexts, sizes, h, c in _gathered(parts):
+                tree = Subtrees(h, c)
+                p = tree.probabilities()
+                names = np.repeat(h >> (8 * DEPTH), 8) << 8 | tree.at
+                for one, own in tops:
+                    at = names & (len(one) - 1)
+                    p = own[at] * np.where(tree.bit == 1, one[at], 1 - one[at]) + (1 - own[at]) * p
+                s = np.log10(p).reshape(-1, 8).sum(axis=1).astype("<f4")
+                first = np.concatenate([[0], np.cumsum(sizes)])
+                for b, i, j in zip(contexts, first[:-1], first[1:]):
+                    yield b, planes(h[i:j], OPEN), s[i:j].tobytes()
+        return _rows(whole(), pa.schema([("b", pa.int32()), ("k", pa.binary()), ("s", pa.binary())]))
+    return totals.mapInArrow(logs, "b int, k binary, s binary")
+
+
+def answers(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """(batch, b, s): log probabilities of the strings of each list, in the order of the list."""
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def whole() -> Iterator[tuple]:
+            have = None
+            for part in parts:
+                for batch, b, k, s in zip(*[part.column(x) for x in ("batch", "b", "k", "s")]):
+                    if s.is_valid:  # a context's own row comes before those that ask
+                        have = numbers(k, OPEN), np.frombuffer(s.as_buffer(), "<f4")
+                    else:
+                        yield batch.as_py(), b.as_py(), have[1][np.searchsorted(have[0], numbers(k, OPEN))].tobytes()
+        return _rows(whole(), pa.schema([("batch", pa.int64()), ("b", pa.int32()), ("s", pa.binary())]))
+    both = known.select(F.lit(None).cast("long").alias("batch"), "b", "k", "s").union(
+        asked.select("batch", "b", "k", F.lit(None).cast("binary")))
+    return both.repartition("b").sortWithinPartitions("b", F.col("s").isNull()).mapInArrow(run, "batch bigint, b int, s binary")
 
 
 def scored(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -204,10 +316,10 @@ def scored(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
     by_batch = staged(counted.groupBy("batch").agg(
         F.collect_list(F.struct("i", "total")).alias("word_counts"), F.sum("c").alias("n"),
         F.sum(((F.col("head") == F.col("batch")) & (F.col("total") > 0)).cast("long")).alias("v")), "word-counts")
-    grams = packed.select("batch", F.posexplode("strings").alias("i", "w")).select("batch", "i", "w.h", "w.c")
-    totals = staged(grams.groupBy("h").agg(F.sum("c").alias("c")), "string-counts")
-    known = staged(string_scores(totals), "string-scores")
-    by_string = grams.join(known.hint("shuffle_hash"), "h").groupBy("batch").agg(F.collect_list(F.struct("i", "s")).alias("string_scores"))
+    asked = packed.select("batch", F.inline("strings"))
+    totals = staged(string_counts(asked), "string-counts")
+    by_string = answers(asked, string_scores(totals)).groupBy("batch").agg(
+        F.array_sort(F.collect_list(F.struct("b", "s"))).alias("string_scores"))
     whole = by_batch.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     ends = rows.where(~F.col("held_out")).count()
     n, v = (whole["n"] or 0) + ends, (whole["v"] or 0) + (1 if ends else 0)
@@ -230,8 +342,8 @@ def scored(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
                 text = Words(sized, lower=True)  # the same words in the same order as when packed
                 code, names = pd.factorize(text.hashes.view(np.int64))
                 count = spread(batch.column("word_counts"), "total", len(names), j, np.float64)[code]
-                code, names = pd.factorize(strings(body, starts))
-                logs = spread(batch.column("string_scores"), "s", len(names), j, np.float64)[code]
+                _, code = ordered(strings(body, starts))
+                logs = np.concatenate([np.frombuffer(x.as_buffer(), "<f4") for x in batch.column("string_scores")[j].values.field("s")])[code]
 
                 def sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
                     total = np.concatenate([[0.0], np.cumsum(x)])
@@ -244,9 +356,9 @@ def scored(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
                      pa.array(np.full(len(tokens), n)), pa.array(sums(np.log10(count + 1), text.first) + np.log10(ends + 1) - tokens * low),
                      pa.array(sums(logs, starts)), pa.array(np.diff(starts))],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"])
-    asked = packed.select("batch", "ids", "held", "starts", "body").join(
-        by_batch.select("batch", "word_counts"), "batch", "left").join(by_string, "batch", "left").drop("batch")
-    return asked.mapInArrow(run, f"""doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint,
+    texts = packed.select("batch", "ids", "held", "starts", "body").join(
+        by_batch.select("batch", "word_counts"), "batch", "left").join(by_string, "batch").drop("batch")
+    return texts.mapInArrow(run, f"""doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint,
         train_tokens bigint, base_score double, score double, n_bytes bigint""")
 
 
