@@ -137,10 +137,14 @@ def gap_report(df: DataFrame, adjusted: float, truth: float, naive: float) -> Da
 
 
 # ---- diagnostics -------------------------------------------------------------------------
-def ablate_suspect(pop: DataFrame, truth: float, naive: float,
+def ablate_suspect(pop: DataFrame, truth: float = 0.0,
                    suspect: str = "pit_rto_rate_shrunk") -> DataFrame:
-    """Refit the adjusted model without one feature and its missing flag; rematch too."""
+    """Refit the adjusted model without one feature and its missing flag; rematch too.
+
+    Shares are of the measured unadjusted gap; without a known ``truth`` they count towards 0.
+    """
     conf = Confounders.build(pop)
+    naive = effects(conf, [])[2]
     out = []
     for label, names in (("full confounder set", conf.names),
                          (f"minus {suspect}",
@@ -158,13 +162,17 @@ def ablate_suspect(pop: DataFrame, truth: float, naive: float,
                  "psm_pp double, psm_unmatched double, ps_auc double")
 
 
-def confounder_contributions(pop: DataFrame, truth: float, naive: float,
+def confounder_contributions(pop: DataFrame, truth: float = 0.0,
                              only: Sequence[str] | None = None) -> DataFrame:
-    """Deviance lost and effect shift when each confounder block is dropped."""
+    """Deviance lost and effect shift when each confounder block is dropped.
+
+    Shares are of the measured unadjusted gap, as in :func:`ablate_suspect`.
+    """
     conf = Confounders.build(pop)
     full, _, full_att = effects(conf)
     null, _, null_att = effects(conf, [])
     explained = null.deviance - full.deviance
+    naive = null_att
     full_closed = closed_share(full_att, truth, naive)
     out = []
     for block, cols in X.blocks(conf.names).items():

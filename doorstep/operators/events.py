@@ -20,8 +20,6 @@ STEP_OFFSETS = {"CHECKOUT_STARTED": 0, "ADDRESS_COMPLETED": 30, "PAYMENT_PAGE_RE
                 "METHOD_SWITCHED": 150, "ORDER_PLACED": 180, "ABANDONED": 200}
 ATTEMPT_OFFSETS = {1: 45, 2: 120}
 ATTEMPT_GAP_DAYS, RTO_INITIATION_DAYS, MAX_ATTEMPTS = 2, 2, 3
-FAILURE_REASONS = ("TIMEOUT", "BANK_DECLINE", "OTP_FAILURE", "PSP_DOWNTIME",
-                   "INSUFFICIENT_FUNDS", "USER_CANCELLED")
 
 
 def _seconds(n: Column | int) -> Column:
@@ -51,7 +49,7 @@ def session_activity(sessions: DataFrame) -> DataFrame:
     return sessions.withColumns({
         "attempted_rail": F.when(attempts > 0, pick(P.PAYMENT_RAILS, "rail")),
         "payment_rail": F.when(paid, pick(P.PAYMENT_RAILS, "rail")),
-        "failure_reason": F.when(failed, pick(FAILURE_REASONS, "why")),
+        "failure_reason": F.when(failed, pick(P.FAILURE_REASONS, "why")),
         "failed_first": failed, "retried": failed & (attempts >= 2),
         "succeeded_second": failed & (attempts >= 2) & paid,
         "switched_rail": F.lit(False),

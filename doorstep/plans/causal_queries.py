@@ -55,10 +55,8 @@ def h1_stratified(m):
 
 register("h1_logistic_adjusted")(lambda m: causal.logistic_adjusted(population(m)))
 register("h1_propensity_matched")(lambda m: causal.propensity_matched(population(m)))
-register("h1_suspect_ablation")(lambda m: causal.ablate_suspect(
-    population(m), 9.99, 17.73))
-register("h1_confounder_contributions")(lambda m: causal.confounder_contributions(
-    population(m), 9.99, 17.73))
+register("h1_suspect_ablation")(lambda m: causal.ablate_suspect(population(m)))
+register("h1_confounder_contributions")(lambda m: causal.confounder_contributions(population(m)))
 register("h1_latent_reconstructibility")(lambda m: causal.latent_reconstructibility(
     population(m), m["truth_customer_latent"]))
 register("gt_coefficient_recovery")(lambda m: causal.recovery_table(population(m)))
@@ -74,7 +72,7 @@ FROM fct_order WHERE is_shipped AND NOT is_censored"""
 
 
 def _match_frame(m):
-    key = F.substring("order_id", 5, 10).cast("long")
+    key = F.substring("order_id", 5, 20).cast("long")
     return views.resolved(m["fct_order"]).select(
         F.col("session_id").alias("k"), (F.col("payment_method") == "COD").cast("int")
         .alias("treated"), (((key * 7919) % 100003).cast("double") / 1000).alias("x"),

@@ -28,8 +28,14 @@ def _lookup(expr: str, mapping: Mapping) -> str:
     return f"CASE {expr} {arms} END"
 
 
+def _padded(expr: str, width: int) -> str:
+    """``expr`` as text of at least ``width`` digits; longer keys keep all of theirs."""
+    text = f"cast({expr} AS string)"
+    return f"lpad({text}, cast(greatest({width}, length({text})) AS int), '0')"
+
+
 def _id(prefix: str, expr: str) -> str:
-    return f"'{prefix}_' || lpad(cast({expr} AS string), 10, '0')"
+    return f"'{prefix}_' || {_padded(expr, 10)}"
 
 
 _SHRUNK_PRE = (f"(floor((ck % 12) * 0.25) + {P.SHRINKAGE_K} * {P.RTO_PRIOR}) / "
@@ -40,8 +46,8 @@ SQL: dict[str, str] = {
       SELECT min(cast(o_orderdate AS date)) AS w_start, max(cast(o_orderdate AS date)) AS w_end
       FROM orders""",
     "dim_geography": f"""
-      SELECT 'GEO_' || lpad(cast(n_nationkey AS string), 4, '0') AS geography_id,
-             lpad(cast(100 + n_nationkey AS string), 3, '0') AS pincode_prefix,
+      SELECT 'GEO_' || {_padded('n_nationkey', 4)} AS geography_id,
+             {_padded('100 + n_nationkey', 3)} AS pincode_prefix,
              n_name AS city_name, r_name AS state_name,
              {_case('r_regionkey % 4', P.GEO_TIERS)} AS geo_tier,
              cast((90 - 10 * (r_regionkey % 4) - n_nationkey % 7) * 0.01 AS decimal(4,3))
@@ -91,7 +97,7 @@ SQL: dict[str, str] = {
              (SELECT w_start FROM window_bounds) - cast(1 + (c_custkey * 31) % 900 AS int)
                AS signup_date,
              cast(1 + (c_custkey * 31) % 900 AS int) AS tenure_days_at_window_start,
-             'GEO_' || lpad(cast(c_nationkey AS string), 4, '0') AS home_geography_id,
+             'GEO_' || {_padded('c_nationkey', 4)} AS home_geography_id,
              {_case('c_custkey % 5', ('18-24', '25-34', '35-44', '45-54', '55+'))} AS age_bucket,
              {_case('c_custkey % 4', ('ORGANIC', 'PAID_SOCIAL', 'PAID_SEARCH', 'REFERRAL'))}
                AS acquisition_channel,
@@ -108,7 +114,8 @@ SQL: dict[str, str] = {
                AS pre_window_payment_failures
       FROM customer""",
     "order_lines": """
-      SELECT l_orderkey, min(l_partkey) AS lpk, min(l_suppkey) AS lsk, count(*) AS n_lines
+      SELECT l_orderkey, min_by(l_partkey, (l_linenumber, l_partkey, l_suppkey)) AS lpk,
+             min_by(l_suppkey, (l_linenumber, l_partkey, l_suppkey)) AS lsk, count(*) AS n_lines
       FROM lineitem GROUP BY l_orderkey""",
     "order_base": f"""
       SELECT k, ck, n_nationkey, ti, order_date, order_ts, pk, sk, n_lines, gmv, discount_pct,
@@ -143,12 +150,12 @@ SQL: dict[str, str] = {
              sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS errors
       FROM events GROUP BY user_id, cast(ts AS date)""",
     "fct_checkout_session": f"""
-      SELECT 'SES_O' || lpad(cast(k AS string), 12, '0') AS session_id,
+      SELECT 'SES_O' || {_padded('k', 12)} AS session_id,
              {_id('CUS', 'ck')} AS customer_id, order_ts AS session_start_ts,
              order_date AS date_id, {_case('k % 3', ('ANDROID', 'IOS', 'WEB'))} AS device_type,
              {_id('PRD', 'pk')} AS candidate_product_id,
              cast(least(5, n_lines) AS smallint) AS cart_size, gmv AS cart_value,
-             'GEO_' || lpad(cast(n_nationkey AS string), 4, '0') AS delivery_geography_id,
+             'GEO_' || {_padded('n_nationkey', 4)} AS delivery_geography_id,
              cast(promise_days AS smallint) AS estimated_delivery_days,
              cast((40 + (k * 17) % 61) * 0.01 AS decimal(4,3)) AS address_completeness_score,
              true AS checkout_started, true AS address_completed, true AS payment_page_reached,
@@ -162,12 +169,12 @@ SQL: dict[str, str] = {
              {_id('ORD', 'k')} AS order_id
       FROM order_base
       UNION ALL
-      SELECT 'SES_E' || lpad(cast(user_id AS string), 10, '0') || '_' || cast(day AS string),
+      SELECT 'SES_E' || {_padded('user_id', 10)} || '_' || cast(day AS string),
              {_id('CUS', 'user_id')}, ts, day,
              {_case('user_id % 3', ('ANDROID', 'IOS', 'WEB'))},
              {_id('PRD', '(user_id * 13) % 200')}, cast(least(5, n) AS smallint),
              cast(amount AS decimal(10,2)),
-             'GEO_' || lpad(cast(c_nationkey AS string), 4, '0'),
+             'GEO_' || {_padded('c_nationkey', 4)},
              cast(2 + n_regionkey % 4 + n % 4 AS smallint),
              cast((40 + (user_id * 17 + n * 7) % 61) * 0.01 AS decimal(4,3)), true,
              clicks > 0 OR signups > 0 OR errors > 0, errors > 0,
@@ -192,10 +199,10 @@ SQL: dict[str, str] = {
       FROM order_base""",
     "fct_order": f"""
       SELECT {_id('ORD', 'k')} AS order_id,
-             'SES_O' || lpad(cast(k AS string), 12, '0') AS session_id,
+             'SES_O' || {_padded('k', 12)} AS session_id,
              {_id('CUS', 'ck')} AS customer_id, {_id('PRD', 'pk')} AS product_id,
              {_id('SEL', 'sk')} AS seller_id,
-             'GEO_' || lpad(cast(n_nationkey AS string), 4, '0') AS delivery_geography_id,
+             'GEO_' || {_padded('n_nationkey', 4)} AS delivery_geography_id,
              order_ts, order_date, cast(least(3, n_lines) AS smallint) AS quantity, gmv,
              discount_amount, discount_pct, cast(gmv - discount_amount AS decimal(10,2))
                AS order_value,

@@ -417,3 +417,23 @@ def test_load_order_puts_parents_first():
     for child, _, parent, _ in schemas.FOREIGN_KEYS:
         if (child, parent) != ("fct_checkout_session", "fct_order"):
             assert order.index(parent) < order.index(child)
+
+
+def test_long_keys_are_not_cut(spark):
+    from doorstep.sources.driver_model import _id
+    got = spark.sql(f"SELECT {_id('ORD', 'k')} AS i FROM VALUES (7), (123456789012), (123456789013) AS t(k)")
+    assert sorted(r.i for r in got.collect()) == ["ORD_0000000007", "ORD_123456789012", "ORD_123456789013"]
+
+
+def test_an_order_takes_part_and_supplier_of_its_first_line(model):
+    first = model["lineitem"].groupBy("l_orderkey").agg(F.min("l_linenumber").alias("l_linenumber"))
+    pairs = model["lineitem"].join(first, ["l_orderkey", "l_linenumber"]).select(
+        "l_orderkey", F.col("l_partkey").alias("lpk"), F.col("l_suppkey").alias("lsk"))
+    made = model["order_lines"].drop("n_lines")
+    assert made.count() == first.count() and made.join(pairs, made.columns, "left_anti").isEmpty()
+
+
+def test_every_level_becomes_a_dummy(spark):
+    from doorstep.operators.features import dummies
+    frame = spark.range(300).select(F.format_string("v%03d", "id").alias("c"))
+    assert len(dummies(frame, ["c"])) == 299
