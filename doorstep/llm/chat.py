@@ -3,7 +3,8 @@
 Messages form trees by (conversation, message, parent). Pointer doubling over self-joins gives
 every message the sum of scores and the number of messages up to its root; leaves are ranked by
 that score (ties: the longer path, then the smaller message id), and the chosen leaves walk up
-the stored jumps, so a path of n messages takes about log2(n) joins.
+the stored jumps, so a path of n messages takes about log2(n) joins. Only messages that have not
+reached their root take part in a join.
 
 Defined results: a message whose parent is null or missing is a root; messages on a cycle of
 parents have no root and are in no conversation. Null text or role is empty. A null
@@ -49,19 +50,18 @@ def best_paths(messages: DataFrame, per_tree: int = 1) -> DataFrame:
         "tree", "msg", F.when(F.col("there"), F.col("parent")).alias("up"), "score", F.lit(1).cast("long").alias("n")))
     parents = jump.where("up IS NOT NULL").select("tree", F.col("up").alias("msg")).distinct()
     leaves = nodes.join(parents, ["tree", "msg"], "left_anti")
-    jumps, live = [], -1
+    jumps, before = [], -1
     while True:
-        jumps.append(jump.where("up IS NOT NULL").select("tree", "msg", "up"))
+        live = jump.where("up IS NOT NULL")
+        jumps.append(live.select("tree", "msg", "up"))
         left = jumps[-1].count()
-        if left in (0, live):
+        if left in (0, before):
             break
-        live = left
+        before = left
         further = jump.select("tree", F.col("msg").alias("up"), F.col("up").alias("up2"),
                               F.col("score").alias("s2"), F.col("n").alias("n2"))
-        jump = cut(jump.join(further, ["tree", "up"], "left").select(
-            "tree", "msg", F.col("up2").alias("up"),
-            (F.col("score") + F.coalesce("s2", F.lit(0.0))).alias("score"),
-            (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n")))
+        jump = cut(jump.where("up IS NULL").union(live.join(further, ["tree", "up"]).select(
+            "tree", "msg", F.col("up2").alias("up"), F.col("score") + F.col("s2"), F.col("n") + F.col("n2"))))
     ranked = (leaves.join(jump.where("up IS NULL").select("tree", "msg", "score", "n"), ["tree", "msg"])
               .withColumn("rank", F.row_number().over(
                   W.partitionBy("tree").orderBy(F.desc("score"), F.desc("n"), "msg")))
