@@ -173,3 +173,44 @@ def test_pipeline_keeps_clean_documents(spark):
 def test_digest_matches_the_text(docs):
     r = pieces.encoded(docs, pieces.model_path()).select("decoded", F.sha2("decoded", 256).alias("d")).first()
     assert r.d == hashlib.sha256(r.decoded.encode()).hexdigest()
+
+
+def test_context_tree_against_brute_force(spark):
+    texts = [(1, "ab abc Ab"), (2, "abc  abd"), (3, None), (4, "zab abd q"), (5, "ab abc Ab")]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    depth = lmscore.DEPTH
+
+    def decisions(text):
+        coded = b"".join(w.lower() + b" " for w in words(text)) + b"\n"
+        padded = b"\n" * depth + coded
+        for i, byte in enumerate(coded):
+            for k in range(8):
+                yield padded[i:i + depth], (256 | byte) >> (8 - k), byte >> (7 - k) & 1
+    counts, below = collections.defaultdict(lambda: [0, 0]), collections.defaultdict(set)
+    for doc, text in texts:
+        for context, at, bit in decisions(text):
+            for d in range(depth + 1):
+                counts[context[depth - d:], at][bit] += doc != 4
+                if d:
+                    below[context[depth - d + 1:], at].add((context[depth - d:], at))
+
+    def kt(a, b):
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    def mix(node):
+        if len(node[0]) == depth:
+            return kt(*counts[node])
+        return math.log(0.5) + np.logaddexp(kt(*counts[node]), sum(map(mix, below[node])))
+    want = {}
+    for doc, text in texts:
+        total = 0.0
+        for context, at, bit in decisions(text):
+            p = 0.5
+            for d in range(depth, -1, -1):
+                node = context[depth - d:], at
+                own = 1.0 if d == depth else math.exp(math.log(0.5) + kt(*counts[node]) - mix(node))
+                p = own * (counts[node][bit] + 0.5) / (sum(counts[node]) + 1) + (1 - own) * p
+            total += math.log10(p)
+        want[doc] = total
+    got = {r["doc_id"]: r["score"] for r in rows(lmscore.scored(docs, F.col("doc_id") == 4))}
+    assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-4 for d in want)
