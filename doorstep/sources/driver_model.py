@@ -3,6 +3,10 @@
 Each derivation is one SELECT in SQL text that both Spark and DuckDB read, so a query's
 DuckDB oracle starts from the same canonical rows while the operators stay independent.
 The texts use whole tables; nothing is filtered by id or sampled.
+
+Every user-day of ``events`` is one session. A day with a purchase converts under an order id of
+its own. ``events`` has no lines, courier or outcome, so these orders have no row in the order
+table; the foreign key scan counts them.
 """
 
 from __future__ import annotations
@@ -82,7 +86,7 @@ SQL: dict[str, str] = {
              cast({_lookup('category', P.SHRINK_BY_CATEGORY)} AS decimal(4,3)) AS shrink_rate,
              is_returnable
       FROM (SELECT {_id('PRD', 'p_partkey')} AS product_id,
-                   {_id('SEL', 'p_partkey % 10')} AS seller_id,
+                   {_id('SEL', 'p_partkey % (SELECT count(*) FROM supplier)')} AS seller_id,
                    {_case('p_partkey % 6', P.CATEGORIES)} AS category, p_type AS sub_category,
                    cast(p_retailprice AS decimal(10,2)) AS list_price,
                    cast((20 + (p_partkey * 7) % 31) * 0.1 AS decimal(3,2)) AS product_rating,
@@ -130,8 +134,9 @@ SQL: dict[str, str] = {
                    cast(o_orderdate AS date)
                      + cast(4 + (o_orderkey * 7) % 22 AS int) AS resolve_date,
                    o_orderdate + ((o_orderkey * 37) % 86400) * INTERVAL '1' SECOND AS order_ts,
-                   coalesce(lpk, (o_orderkey * 13) % 200) AS pk,
-                   coalesce(lsk, o_orderkey % 10) AS sk, coalesce(n_lines, 1) AS n_lines,
+                   coalesce(lpk, o_orderkey % (SELECT count(*) FROM part)) AS pk,
+                   coalesce(lsk, o_orderkey % (SELECT count(*) FROM supplier)) AS sk,
+                   coalesce(n_lines, 1) AS n_lines,
                    cast(cast(o_totalprice AS decimal(12,2)) * 0.01 AS decimal(10,2)) AS gmv,
                    cast((o_orderkey % 20) * 0.01 AS decimal(5,4)) AS discount_pct,
                    CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH', '4-NOT SPECIFIED')
@@ -147,7 +152,9 @@ SQL: dict[str, str] = {
              sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS clicks,
              sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) AS signups,
              sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS purchases,
-             sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS errors
+             sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS errors,
+             min_by(cast(regexp_extract(props, '"k": *([0-9]+)', 1) AS bigint), (ts, event_id))
+               AS looked_at
       FROM events GROUP BY user_id, cast(ts AS date)""",
     "fct_checkout_session": f"""
       SELECT 'SES_O' || {_padded('k', 12)} AS session_id,
@@ -172,22 +179,24 @@ SQL: dict[str, str] = {
       SELECT 'SES_E' || {_padded('user_id', 10)} || '_' || cast(day AS string),
              {_id('CUS', 'user_id')}, ts, day,
              {_case('user_id % 3', ('ANDROID', 'IOS', 'WEB'))},
-             {_id('PRD', '(user_id * 13) % 200')}, cast(least(5, n) AS smallint),
+             {_id('PRD', 'coalesce(looked_at, 0)')}, cast(least(5, n) AS smallint),
              cast(amount AS decimal(10,2)),
              'GEO_' || {_padded('c_nationkey', 4)},
              cast(2 + n_regionkey % 4 + n % 4 AS smallint),
              cast((40 + (user_id * 17 + n * 7) % 61) * 0.01 AS decimal(4,3)), true,
-             clicks > 0 OR signups > 0 OR errors > 0, errors > 0,
-             CASE WHEN errors > 0 THEN 'PREPAID' END, cast(NULL AS string), false,
-             cast(CASE WHEN errors > 1 THEN 2 WHEN errors = 1 THEN 1 ELSE 0 END AS smallint),
-             true,
-             CASE WHEN errors > 0 THEN 'PAYMENT_FAILURE'
+             clicks + signups + errors + purchases > 0, errors + purchases > 0,
+             CASE WHEN errors + purchases > 0 THEN 'PREPAID' END,
+             CASE WHEN purchases > 0 THEN 'PREPAID' END, false,
+             cast(CASE WHEN errors > 1 OR (errors = 1 AND purchases > 0) THEN 2
+                       WHEN errors + purchases > 0 THEN 1 ELSE 0 END AS smallint),
+             purchases = 0,
+             CASE WHEN purchases > 0 THEN NULL WHEN errors > 0 THEN 'PAYMENT_FAILURE'
                   WHEN clicks > 0 OR signups > 0 THEN 'PAYMENT_PAGE' ELSE 'ADDRESS' END,
-             cast(NULL AS string)
+             CASE WHEN purchases > 0
+                  THEN 'ORD_E' || {_padded('user_id', 10)} || '_' || cast(day AS string) END
       FROM user_days
       JOIN customer ON c_custkey = user_id
-      JOIN nation ON n_nationkey = c_nationkey
-      WHERE purchases = 0""",
+      JOIN nation ON n_nationkey = c_nationkey""",
     "order_outcome": f"""
       SELECT *, NOT is_cancelled AS is_shipped, NOT is_cancelled AND NOT is_censored AS observable,
              NOT is_cancelled AND NOT is_censored AND would_return AS returned,
