@@ -1,12 +1,19 @@
 """Substring dedup: words covered by a window of words that starts anywhere else are removed.
 
-Levels. The first looks at short windows, of about a quarter of the width, and of those only at
-anchors: in each full window the short windows with the least hash. Equal full windows have equal
-anchors, so a full window can only be repeated if its anchor is, and about one word in fourteen
-is looked at. Only anchors that repeat are extended, first to all the words that full windows
-on this anchor can reach (almost twice the width): where that context repeats, every window in
-it does. Only what is repeated as an anchor but not as a context goes on to single full
-windows, with one occurrence of each repeated context of the same anchor to compare with.
+Levels: a quarter of the width, half of it, the width, each about twice the one before (9, 18, 35
+words). A window that a contract fixes ends the doubling: words that a longer run covers are
+covered by its windows of the width.
+
+* Quarter. Of the windows of nine words only anchors are looked at: in each full window the ones
+  with the least hash. Equal full windows have equal anchors, so a full window can only be
+  repeated if its anchor is, and about one word in fourteen is looked at.
+* Half. Anchors that repeat are extended to twice their length, to the right for the full windows
+  that reach that far, to the left for the others. An anchor goes on only on a side that repeats,
+  and candidates end here if neither does.
+* Width. Survivors are extended once more. Where all the words that full windows on the anchor can
+  reach repeat as one context, every window in it does, and they are not listed singly. All others
+  are, on the sides that repeat, with one occurrence of each repeated context of the same anchor to
+  compare with.
 
 Each level groups by hash with partial sums before the shuffle; no group is gathered and no
 pair is formed. Hashes compared are 64 bits of an anchor with 64 bits of what surrounds it.
@@ -50,6 +57,8 @@ class Anchors:
 
     def __init__(self, words: Words, width: int):
         self.width, self.short = width, max(1, width // 4 + 1)
+        # on narrow widths a little less, so that every full window holds one of the two sides
+        self.half = min(2 * self.short, (width + self.short + 1) // 2)
         self.reach = width - self.short
         h = words.hashes
         n = len(h)
@@ -65,6 +74,21 @@ class Anchors:
         self.places = np.flatnonzero((back == self.short_hash) & (back > 0))
         self.hashes = h
 
+    def halves(self, at: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of twice the anchor, to the right and to the left.
+
+        No full window asks for a side on which the text ends before; the context stands in there."""
+        twice = windows(self.hashes, self.half, seed=11)
+        back = at - (self.half - self.short)
+        right, left = at + self.half <= self.stop[at], back >= self.begin[at]
+        out = np.stack([mixed(context, 13), mixed(context, 14)])
+        out[0, right], out[1, left] = twice[at[right]], mixed(twice[back[left]], 12)
+        return out[0], out[1]
+
+    def side(self, at: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """The side (``RIGHT`` or ``LEFT``) on which full windows from ``start`` hold twice the anchor."""
+        return np.where(at + self.half <= start + self.width, RIGHT, LEFT)
+
     def contexts(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hash, start and end of the words that full windows anchored at these places can reach."""
         a = np.maximum(at - self.reach, self.begin[at])
@@ -86,41 +110,55 @@ def _lists(values: pa.Array, counts: np.ndarray) -> pa.Array:
 
 
 def anchors(docs: DataFrame, width: int) -> DataFrame:
-    """(_k1, _k2, anchors: array of (p, h, c)) of documents with a full window."""
+    """(_k1, _k2, anchors: array of (p, h, c, r, l)) of documents with a full window."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(BATCH)(batches):
             words = Words(batch.column("_text"))
             found = Anchors(words, width)
             at = found.places
             context, _, _ = found.contexts(at)
+            right, left = found.halves(at, context)
             edges = np.searchsorted(at, words.first)
             p = at - np.repeat(words.first[:-1], np.diff(edges))
             spots = pa.StructArray.from_arrays(
-                [pa.array(p.astype(np.int32)), _signed(found.short_hash[at]), _signed(context)], ["p", "h", "c"])
+                [pa.array(p.astype(np.int32)), _signed(found.short_hash[at]), _signed(context), _signed(right),
+                 _signed(left)], ["p", "h", "c", "r", "l"])
             out = pa.RecordBatch.from_arrays(
                 [batch.column("_k1"), batch.column("_k2"), _lists(spots, np.diff(edges))], ["_k1", "_k2", "anchors"])
             yield out.filter(pa.array(np.diff(edges) > 0))
     return docs.select("_k1", "_k2", "_text").mapInArrow(
-        run, "_k1 bigint, _k2 bigint, anchors array<struct<p:int,h:bigint,c:bigint>>")
+        run, "_k1 bigint, _k2 bigint, anchors array<struct<p:int,h:bigint,c:bigint,r:bigint,l:bigint>>")
 
 
 #: States of a repeated anchor: its context repeats; so, and it stands for its context among
 #: single windows; the context is alone.
 COVERED, STANDS, ALONE = 0, 1, 2
+#: Sides on which twice the anchor repeats, as bits of a sum.
+RIGHT, LEFT = 1, 2
+
+
+def doubled(rows: DataFrame) -> DataFrame:
+    """Repeated anchors (``rows``) that also repeat at twice the length, with their ``sides``."""
+    right, left = (rows.groupBy(x).count().where("count > 1").select(x, F.lit(bit).alias(f"_{x}"))
+                   for x, bit in (("r", RIGHT), ("l", LEFT)))
+    sides = F.coalesce("_r", F.lit(0)) + F.coalesce("_l", F.lit(0))
+    return rows.join(right, "r", "left").join(left, "l", "left").select(
+        "_k1", "_k2", "p", "h", "c", sides.alias("sides")).where("sides > 0")
 
 
 def anchor_states(found: DataFrame) -> DataFrame:
-    """(_k1, _k2, spots: array of (p, s)) of the anchors that occur more than once."""
-    rows = found.select("_k1", "_k2", F.explode("anchors").alias("a")).select("_k1", "_k2", "a.p", "a.h", "a.c")
+    """(_k1, _k2, spots: array of (p, s, sides)) of the anchors that occur more than once."""
+    rows = found.select("_k1", "_k2", F.explode("anchors").alias("a")).select(
+        "_k1", "_k2", "a.p", "a.h", "a.c", "a.r", "a.l")
     again = rows.groupBy("h").count().where("count > 1").select("h")
-    rows = staged(rows.join(again, "h"), "anchors")
+    rows = staged(doubled(staged(rows.join(again, "h"), "anchors")), "doubled-anchors")
     contexts = rows.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("_k1", "_k2", "p")).alias("who"))
     mixed_groups = contexts.groupBy("h").agg(F.max((F.col("n") == 1).cast("int")).alias("some_alone"))
     stands = ((F.col("some_alone") == 1) & (F.col("who._k1") == F.col("_k1")) & (F.col("who._k2") == F.col("_k2"))
               & (F.col("who.p") == F.col("p")))
     state = F.when(F.col("n") == 1, ALONE).when(stands, STANDS).otherwise(COVERED)
     return (rows.join(contexts.join(mixed_groups, "h"), ["h", "c"])
-            .groupBy("_k1", "_k2").agg(F.collect_set(F.struct("p", state.alias("s"))).alias("spots")))
+            .groupBy("_k1", "_k2").agg(F.collect_set(F.struct("p", state.alias("s"), "sides")).alias("spots")))
 
 
 def single_windows(docs: DataFrame, states: DataFrame, width: int) -> DataFrame:
@@ -138,9 +176,10 @@ def single_windows(docs: DataFrame, states: DataFrame, width: int) -> DataFrame:
             flat = spots.flatten()
             p = flat.field("p").to_numpy() + words.first[:-1][row]
             weight = np.where(flat.field("s").to_numpy() == STANDS, 2, 1)
+            sides = flat.field("sides").to_numpy()
             start = (p[:, None] - np.arange(found.reach + 1)[None, :]).ravel()
-            p, weight, row = (np.repeat(x, found.reach + 1) for x in (p, weight, row))
-            ok = start >= found.begin[p]
+            p, weight, row, sides = (np.repeat(x, found.reach + 1) for x in (p, weight, row, sides))
+            ok = (start >= found.begin[p]) & ((found.side(p, start) & sides) > 0)
             ok[ok] = found.full[start[ok]] & (found.lowest[start[ok]] == found.short_hash[p[ok]])
             start, weight, row = start[ok], weight[ok], row[ok]
             order = np.lexsort((-weight, start))
