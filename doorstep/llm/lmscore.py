@@ -7,10 +7,11 @@ up to the counts of every shorter context. Krichevsky-Trofimov block probabiliti
 the longest contexts to none, half for a node's own and half for the product of its children;
 the resulting weights give every byte its probability, and log2 of it, summed, the code length.
 
-Texts are packed into batches. Each batch names its distinct words and its distinct byte strings
-of a context and what follows, gets for each the count or the log probability, and adds them up.
+Texts are packed into batches, which are worked on ``CHUNK`` bytes at a time. Each batch names its
+distinct words and its distinct byte strings of a context and what follows, gets for each the count
+or the log probability, and adds them up. The larger a batch, the fewer copies of a string travel.
 Strings travel as lists: those of a batch that share the last ``TOP`` bytes of context are one
-row, meet the lists of other batches in the task of that context, and go back with a log
+compressed row, meet the lists of other batches in the task of that context, and go back with a log
 probability each. A task folds lists as they come, so it holds the distinct strings of one
 context and not their copies. Nothing is broadcast but 65,536 nodes of the top, and what is
 exchanged grows with the texts.
@@ -36,15 +37,15 @@ from pyspark.sql import functions as F
 
 from .common import Words, by_size, staged, table, text_of
 
-DEPTH = 5
-BATCH = 6_000_000
+DEPTH = 6
+BATCH, CHUNK = 12_000_000, 3_000_000
 END = 10
 #: Context bytes that keep strings together in a task.
 TOP = 2
 #: Bytes of a string that its context of TOP bytes leaves open.
 OPEN = DEPTH + 1 - TOP
 #: Strings of small contexts that a task works on at a time, and copies it holds before it folds them.
-STRINGS, COPIES = 250_000, 2_000_000
+STRINGS, COPIES = 200_000, 2_000_000
 
 
 def coded(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -91,18 +92,32 @@ def ordered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return known[order], place[code]
 
 
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct values of all parts in order, and for each part the places of its values among them."""
+    known, _ = ordered(np.concatenate([values for values, _ in parts]))
+    return known, [np.searchsorted(known, values).astype(np.int32)[code] for values, code in parts]
+
+
 def planes(x: np.ndarray, width: int) -> bytes:
-    """The ``width`` low bytes of whole numbers, all first bytes first, which compress well."""
-    return x.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    """The ``width`` low bytes of whole numbers, all first bytes first, compressed."""
+    return zstandard.compress(x.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes(), 3)
 
 
 def numbers(planed: pa.Scalar, width: int) -> np.ndarray:
-    got = np.frombuffer(planed.as_buffer(), np.uint8).reshape(width, -1)
+    got = np.frombuffer(zstandard.decompress(planed.as_buffer()), np.uint8).reshape(width, -1)
     out = np.zeros((got.shape[1], 8), np.uint8)
     out[:, :width] = got.T
     return out.view("<i8").ravel()
 
 
+def float_planes(x: np.ndarray) -> bytes:
+    return planes(x.astype("<f4").view("<i4"), 4)
+
+
+def floats(planed: pa.Scalar) -> np.ndarray:
+    return numbers(planed, 4).astype("<i4").view("<f4")
+
+
 def lists(known: np.ndarray, counts: np.ndarray) -> pa.Array:
     """Strings in order, cut where the context of TOP bytes changes: context ``b``, keys, counts."""
     top = known >> (8 * OPEN)
@@ -114,30 +129,35 @@ def lists(known: np.ndarray, counts: np.ndarray) -> pa.Array:
          pa.array([planes(counts[i:j], 4) for i, j in spans], pa.binary())], ["b", "k", "c"])
 
 
-def batches(docs: DataFrame) -> DataFrame:
+def batches(docs: DataFrame, size: int = BATCH, chunk: int = CHUNK) -> DataFrame:
     """One row for each batch: ids and marks, the coded texts, distinct words and strings with
     their counts in training documents."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_size(BATCH)(parts):
-            words = Words(batch.column("_text"), lower=True)
-            body, starts = coded(words)
-            train = ~batch.column("held_out").to_numpy(zero_copy_only=False)
-            word_train = np.repeat(train, np.diff(words.first))
-            byte_train = np.repeat(train, np.diff(starts))
-            code, named = pd.factorize(words.hashes.view(np.int64))
-            of_words = pa.StructArray.from_arrays([pa.array(named), pa.array(np.bincount(
-                code, weights=word_train, minlength=len(named)).astype(np.int64))], ["h", "c"])
-            known, code = ordered(strings(body, starts))
-            of_strings = lists(known, np.bincount(code, weights=byte_train, minlength=len(known)).astype(np.int64))
+        for batch in by_size(size)(parts):
+            bodies, firsts, end = [], [np.zeros(1, np.int64)], 0
+            found = [], []
+            for part in by_size(chunk)(iter([batch])):
+                words = Words(part.column("_text"), lower=True)
+                body, starts = coded(words)
+                train = ~part.column("held_out").to_numpy(zero_copy_only=False)
+                for held, values, first in zip(found, (words.hashes.view(np.int64), strings(body, starts)), (words.first, starts)):
+                    known, code = ordered(values)
+                    held.append((known, np.bincount(code, weights=np.repeat(train, np.diff(first)), minlength=len(known))))
+                bodies.append(body.tobytes())
+                firsts.append(starts[1:] + end)
+                end += len(body)
+            (named, word_counts), (known, counts) = [_folded(*zip(*held)) for held in found]
+            of_words = pa.StructArray.from_arrays([pa.array(named), pa.array(word_counts)], ["h", "c"])
+            of_strings = lists(known, counts)
             held = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (of_words, of_strings)]
             ends = pa.array([0, batch.num_rows], pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([uuid.uuid4().int >> 65]), pa.ListArray.from_arrays(ends, batch.column("doc_id")),
                  pa.ListArray.from_arrays(ends, batch.column("held_out")),
-                 pa.array([starts.astype(np.int64).tobytes()], pa.binary()),
-                 pa.array([zstandard.compress(body.tobytes(), 3)], pa.binary()), *held],
+                 pa.array([np.concatenate(firsts).astype(np.int64).tobytes()], pa.binary()),
+                 pa.array([zstandard.compress(b"".join(bodies), 3)], pa.binary()), *held],
                 ["batch", "ids", "held", "starts", "body", "words", "strings"])
     return docs.select("doc_id", "held_out", "_text").mapInArrow(run, f"""batch bigint, ids array<{kind}>,
         held array<boolean>, starts binary, body binary, words array<struct<h:bigint,c:bigint>>,
@@ -281,10 +301,10 @@ def string_scores(totals: DataFrame) -> DataFrame:
                 for one, own in tops:
                     at = names & (len(one) - 1)
                     p = own[at] * np.where(tree.bit == 1, one[at], 1 - one[at]) + (1 - own[at]) * p
-                s = np.log10(p).reshape(-1, 8).sum(axis=1).astype("<f4")
+                s = np.log10(p).reshape(-1, 8).sum(axis=1)
                 first = np.concatenate([[0], np.cumsum(sizes)])
                 for b, i, j in zip(contexts, first[:-1], first[1:]):
-                    yield b, planes(h[i:j], OPEN), s[i:j].tobytes()
+                    yield b, planes(h[i:j], OPEN), float_planes(s[i:j])
         return _rows(whole(), pa.schema([("b", pa.int32()), ("k", pa.binary()), ("s", pa.binary())]))
     return totals.mapInArrow(logs, "b int, k binary, s binary")
 
@@ -297,19 +317,20 @@ def answers(asked: DataFrame, known: DataFrame) -> DataFrame:
             for part in parts:
                 for batch, b, k, s in zip(*[part.column(x) for x in ("batch", "b", "k", "s")]):
                     if s.is_valid:  # a context's own row comes before those that ask
-                        have = numbers(k, OPEN), np.frombuffer(s.as_buffer(), "<f4")
+                        have = numbers(k, OPEN), floats(s)
                     else:
-                        yield batch.as_py(), b.as_py(), have[1][np.searchsorted(have[0], numbers(k, OPEN))].tobytes()
+                        yield batch.as_py(), b.as_py(), float_planes(have[1][np.searchsorted(have[0], numbers(k, OPEN))])
         return _rows(whole(), pa.schema([("batch", pa.int64()), ("b", pa.int32()), ("s", pa.binary())]))
     both = known.select(F.lit(None).cast("long").alias("batch"), "b", "k", "s").union(
         asked.select("batch", "b", "k", F.lit(None).cast("binary")))
     return both.repartition("b").sortWithinPartitions("b", F.col("s").isNull()).mapInArrow(run, "batch bigint, b int, s binary")
 
 
-def scored(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scored(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text",
+           size: int = BATCH, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes)."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), text_of(docs, text).alias("_text"))
-    packed = staged(batches(rows), "batches")
+    packed = staged(batches(rows, size, chunk), "batches")
     words = packed.select("batch", F.posexplode("words").alias("i", "w")).select("batch", "i", "w.h", "w.c")
     same = W.partitionBy("h")
     counted = words.withColumns({"total": F.sum("c").over(same), "head": F.min("batch").over(same)})
@@ -333,28 +354,44 @@ def scored(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
             out[pairs.field("i").to_numpy()] = pairs.field(value).to_numpy()
         return out
 
+    def sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0.0], np.cumsum(x, dtype=np.float64)])
+        return total[first[1:]] - total[first[:-1]]
+
+    def chunks(starts: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Texts of about ``chunk`` bytes, one at least."""
+        at = 0
+        while at < len(starts) - 1:
+            to = max(at + 1, int(np.searchsorted(starts, starts[at] + chunk, "right")) - 1)
+            yield at, to
+            at = to
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             for j in range(batch.num_rows):
                 starts = np.frombuffer(batch.column("starts")[j].as_py(), np.int64)
                 body = np.frombuffer(zstandard.decompress(batch.column("body")[j].as_py()), np.uint8)
-                sized = pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts.tobytes()), pa.py_buffer(body.tobytes()))
-                text = Words(sized, lower=True)  # the same words in the same order as when packed
-                code, names = pd.factorize(text.hashes.view(np.int64))
-                count = spread(batch.column("word_counts"), "total", len(names), j, np.float64)[code]
-                _, code = ordered(strings(body, starts))
-                logs = np.concatenate([np.frombuffer(x.as_buffer(), "<f4") for x in batch.column("string_scores")[j].values.field("s")])[code]
-
-                def sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
-                    total = np.concatenate([[0.0], np.cumsum(x)])
-                    return total[first[1:]] - total[first[:-1]]
-                tokens = np.diff(text.first) + 1
-                held = batch.column("held")[j].values
+                firsts, inside, by_word, by_byte = [], [], [], []
+                for at, to in chunks(starts):
+                    mine, here = body[starts[at]:starts[to]], starts[at:to + 1] - starts[at]
+                    sized = pa.LargeStringArray.from_buffers(to - at, pa.py_buffer(here.tobytes()), pa.py_buffer(mine.tobytes()))
+                    text = Words(sized, lower=True)  # the same words in the same order as when packed
+                    firsts.append(text.first)
+                    inside.append(here)
+                    for held, values in ((by_word, text.hashes.view(np.int64)), (by_byte, strings(mine, here))):
+                        known, code = ordered(values)
+                        held.append((known, code.astype(np.int32)))
+                names, word_codes = merged(by_word)
+                _, byte_codes = merged(by_byte)
+                counts = spread(batch.column("word_counts"), "total", len(names), j, np.float64)
+                logs = np.concatenate([floats(x) for x in batch.column("string_scores")[j].values.field("s")])
+                got = [(np.diff(first) + 1, sums(counts[words] > 0, first), sums(np.log10(counts[words] + 1), first), sums(logs[bytes_], here))
+                       for first, here, words, bytes_ in zip(firsts, inside, word_codes, byte_codes)]
+                tokens, known, base, score = [np.concatenate(x) for x in zip(*got)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("ids")[j].values, held, pa.array(tokens), pa.array(
-                        (sums(count > 0, text.first) + (ends > 0)).astype(np.int64)),
-                     pa.array(np.full(len(tokens), n)), pa.array(sums(np.log10(count + 1), text.first) + np.log10(ends + 1) - tokens * low),
-                     pa.array(sums(logs, starts)), pa.array(np.diff(starts))],
+                    [batch.column("ids")[j].values, batch.column("held")[j].values, pa.array(tokens),
+                     pa.array((known + (ends > 0)).astype(np.int64)), pa.array(np.full(len(tokens), n)),
+                     pa.array(base + np.log10(ends + 1) - tokens * low), pa.array(score), pa.array(np.diff(starts))],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"])
     texts = packed.select("batch", "ids", "held", "starts", "body").join(
         by_batch.select("batch", "word_counts"), "batch", "left").join(by_string, "batch").drop("batch")

@@ -6,6 +6,7 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -214,3 +215,33 @@ def test_context_tree_against_brute_force(spark):
         want[doc] = total
     got = {r["doc_id"]: r["score"] for r in rows(lmscore.scored(docs, F.col("doc_id") == 4))}
     assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-4 for d in want)
+
+
+def test_context_reaches_over_six_bytes(spark):
+    """What follows five equal bytes is told by the byte before them."""
+    texts = [(i, "pqrstu1 vqrstu2 " * 20) for i in range(3)] + [(3, "pqrstu1"), (4, "pqrstu2")]
+    got = {r["doc_id"]: r["score"] for r in rows(lmscore.scored(spark.createDataFrame(
+        texts, "doc_id bigint, text string"), F.col("doc_id") >= 3))}
+    assert lmscore.DEPTH >= 6 and got[3] > got[4] + 0.8
+
+
+def test_scores_do_not_depend_on_batches(docs):
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+
+    def scores(**sizes):
+        got = sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["base_score"], r["score"])
+                     for r in rows(lmscore.scored(docs.coalesce(1), held, **sizes)))
+        return [x[:3] for x in got], np.array([x[3:] for x in got])
+    whole = scores()
+    for sizes in {"size": 4000, "chunk": 600}, {"size": 600, "chunk": 10 ** 6}:
+        named, values = scores(**sizes)
+        assert named == whole[0] and np.allclose(values, whole[1], rtol=1e-6, atol=1e-4)
+
+
+def test_probabilities_of_listed_strings_sum_to_one(spark):
+    known = int.from_bytes(bytes(range(1, lmscore.DEPTH + 1)), "big") << 8
+    listed = lmscore.lists(np.arange(known, known + 256), np.array([3 if s in (65, 66) else 0 for s in range(256)]))
+    strings = spark.createDataFrame([(r["b"], r["k"], r["c"]) for r in listed.to_pylist()], "b int, k binary, c binary")
+    (r,) = rows(lmscore.string_scores(lmscore.string_counts(strings)))
+    logs = lmscore.floats(pa.scalar(bytes(r["s"]), pa.binary()))
+    assert len(logs) == 256 and abs((10 ** logs.astype(float)).sum() - 1) < 1e-5
