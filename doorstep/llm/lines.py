@@ -7,7 +7,9 @@ lines with another; ranks of twice that length come from sorting the pairs (rank
 suffixes of one rank at a length are one longest-common-prefix interval. An interval of
 ``min_lines`` lines or more is a repeated run: its first copy, in the order of document id,
 document hash and place, stays, and the lines of later copies are deleted; overlapping and
-adjoining copies merge into maximal runs.
+adjoining copies merge into maximal runs. Where ``min_words`` is given, an interval of one line is
+a repeated run too if the line has that many words. The pipeline's stage deletes such lines from
+``MIN_WORDS`` words on; the query does not, as its SQL knows runs of ``MIN_LINES`` lines alone.
 
 Every step is a DataFrame operation. Equal pairs are counted with partial sums before they are
 sorted, ranks are prefix sums over distinct pairs, and a hot line only makes one side of an
@@ -31,16 +33,17 @@ from ..session import cut
 from .common import row_key, staged, table
 
 MIN_LINES = 2
+MIN_WORDS = 50
 KEY = ["_k1", "_k2"]
 
 
 def line_rows(keyed: DataFrame) -> DataFrame:
-    """(_k1, _k2, _id, pos, line, h1, h2): lines that aren't blank, numbered within their document."""
+    """(_k1, _k2, _id, pos, line, h1, h2, words): lines that aren't blank, numbered within their document."""
     lines = F.filter(F.transform(F.split("_text", "\n"), lambda s, i: F.struct(i.alias("line"), s.alias("s"))),
                      lambda x: x["s"].rlike(r"\S"))
     return keyed.select(*KEY, "_id", F.posexplode(lines).alias("pos", "x")).select(
         *KEY, "_id", "pos", F.col("x.line").alias("line"), F.xxhash64("x.s").alias("h1"),
-        F.xxhash64(F.lit(1), "x.s").alias("h2"))
+        F.xxhash64(F.lit(1), "x.s").alias("h2"), F.size(F.regexp_extract_all("x.s", F.lit(r"(\S+)"))).alias("words"))
 
 
 def ranked(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -75,14 +78,23 @@ def at_length(levels: list[DataFrame], length: int) -> DataFrame | None:
     return ranked(pairs.select(*KEY, "_id", "pos", F.col("rank").alias("r"), "next"), ["r", "next"])
 
 
-def later_copies(rows: DataFrame, min_lines: int) -> DataFrame | None:
+def later_lines(rows: DataFrame, level: DataFrame, min_words: int) -> DataFrame:
+    """(_k1, _k2, pos, n): later copies of single lines of ``min_words`` words or more."""
+    long = rows.where(F.col("words") >= min_words).select(*KEY, "pos").distinct()
+    return level.where("later").join(long, [*KEY, "pos"], "left_semi").select(*KEY, "pos", F.lit(1).alias("n"))
+
+
+def later_copies(rows: DataFrame, min_lines: int, min_words: int | None = None) -> DataFrame | None:
     """(_k1, _k2, gone, shared_lines): numbers of deleted lines, and the greatest power of two of lines
     that starts at one of them and is found elsewhere too."""
     levels = suffix_ranks(rows)
     least = at_length(levels, min_lines)
-    if least is None:
+    found = [] if least is None else [least.where("later").select(*KEY, "pos", F.lit(min_lines).alias("n"))]
+    if min_words is not None and levels:
+        found.append(later_lines(rows, levels[0], min_words))
+    if not found:
         return None
-    spans = least.where("later").select(*KEY, "pos", F.lit(min_lines).alias("n"))
+    spans = found[0] if len(found) == 1 else found[0].union(found[1])
     for k, level in enumerate(levels):
         if 2 ** k > min_lines:
             spans = spans.union(level.where("later").select(*KEY, "pos", F.lit(2 ** k).alias("n")))
@@ -96,12 +108,13 @@ def later_copies(rows: DataFrame, min_lines: int) -> DataFrame | None:
         F.collect_set("line").alias("gone"), F.max("n").cast("long").alias("shared_lines"))
 
 
-def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES, doc_id: str = "doc_id", text: str = "text",
+                 min_words: int | None = None) -> DataFrame:
     """``docs`` with later copies of repeated runs deleted from the text, and what was deleted."""
     source = docs.drop("n_lines", "n_removed", "shared_lines")
     body = F.col(text).cast("string")
     keyed = source.select(*row_key(F.col(doc_id), body), F.col(doc_id).alias("_id"), body.alias("_text"))
-    marks = later_copies(staged(line_rows(keyed), "lines"), min_lines)
+    marks = later_copies(staged(line_rows(keyed), "lines"), min_lines, min_words)
     # inline makes the split text a column, so that the expressions below don't split it again
     split = source.select("*", *row_key(F.col(doc_id), body), F.inline(F.array(F.struct(F.split(body, "\n").alias("_lines")))))
     if marks is None:
@@ -124,7 +137,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return deduplicated(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return deduplicated(docs, min_words=MIN_WORDS).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 OP1_SQL = r"""

@@ -56,6 +56,31 @@ def test_lines_against_brute_force(spark, least):
     assert {r["doc_id"]: r["text"] for r in rows(got)} == want
 
 
+def test_long_single_lines_against_brute_force(spark):
+    long, short = " ".join(f"w{i}" for i in range(lines.MIN_WORDS)), " ".join(f"w{i}" for i in range(lines.MIN_WORDS - 1))
+    texts = [f"a\n{long}\nb", f"c\n{long}\nd", f"e\n{short}\nf", f"g\n{short}\nh", f"{long}\n\n{long}", None, "", f"b\nx {long}\nx {long}\na"]
+    texts += ["p\nq\nr", f"p\nq\n{long}"]  # a run and a single line side by side
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        split = [] if t is None else t.split("\n")
+        full = [k for k, s in enumerate(split) if s.strip()]
+        gone = set()
+        for least in (1, 2):
+            for p in range(len(full) - least + 1):
+                run = tuple(split[k] for k in full[p:p + least])
+                if least == 1 and len(run[0].split()) < lines.MIN_WORDS:
+                    continue
+                if run in seen:
+                    gone |= set(full[p:p + least])
+                seen.add(run)
+        want[i] = None if t is None else "\n".join(s for k, s in enumerate(split) if k not in gone)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("n_chars", F.lit(0))
+    got = {r["doc_id"]: r["text"] for r in rows(lines.line_dedup_stage(spark, docs, ""))}
+    assert got == want and want[1] == "c\nd" and want[3] == texts[3] and want[9] == ""
+    one = docs.where("doc_id < 2")  # no run of two lines at all
+    assert {r["doc_id"]: r["text"] for r in rows(lines.line_dedup_stage(spark, one, ""))}[1] == "c\nd"
+
+
 def test_lines_edges(docs):
     got = lines.deduplicated(docs)
     assert got.count() == docs.count() and set(docs.columns) <= set(got.columns)
