@@ -270,3 +270,22 @@ def test_probabilities_of_listed_strings_sum_to_one(spark):
     (r,) = rows(lmscore.string_scores(lmscore.string_counts(strings)))
     logs = lmscore.floats(pa.scalar(bytes(r["s"]), pa.binary()))
     assert len(logs) == 256 and abs((10 ** logs.astype(float)).sum() - 1) < 1e-5
+
+
+def test_whole_license_bodies_are_found_when_edited(spark):
+    bodies = [(i, a, " ".join(t.split())) for i, (a, t) in enumerate(licenses.TEMPLATES) if len(t.split()) > 2 * licenses.LONGEST]
+    assert {a for _, a, _ in bodies} == {"MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause"}
+    texts = []
+    for i, _, t in bodies:
+        w = t.split()
+        for at in 20, len(w) // 2:
+            w[at] = f"changed{at}"
+        texts.append((i, "some words\n" + " ".join(w[:40]) + "\n" + " ".join(w[40:]) + "\nmore words"))
+        texts.append((100 + i, " ".join(t.split()[:len(t.split()) // 2])))  # half of a body is not the body
+    texts += [(50, "Licensed under CC BY 4.0."), (51, "Licensed under CC BY-SA 4.0.")]
+    got = {(r["doc_id"], r["license"], r["template"]) for r in rows(licenses.found(
+        spark.createDataFrame(texts, "doc_id bigint, text string"), licenses.templates(spark)))}
+    assert {(i, a, i) for i, a, _ in bodies} <= got and not any(d == 100 + t for d, _, t in got)
+    assert {x[:2] for x in got if x[0] in (50, 51)} == {(50, "CC-BY-4.0"), (51, "CC-BY-SA-4.0")}
+    parts = {r["template"]: r["n"] for r in rows(licenses.templates(spark).groupBy("template").agg(F.count("*").alias("n")))}
+    assert all(parts[i] > 1 for i, _, _ in bodies)
