@@ -3,13 +3,15 @@
 A set's tokens are 64-bit hashes of its distinct runs of ``SHINGLE`` words. Two sets can only link
 if either shares its ``percent`` of tokens with others, and that is used twice.
 
-* Sets without company. Texts are read in batches; each sends its distinct tokens, packed by hash
-  range, to where all batches' tokens of the range meet, and hears which of them another set holds.
-  Sets of which fewer than ``percent`` tokens are shared link with nothing and end here. A token
-  that many sets hold is sent once for each batch.
+* Sets without company. In one order of all tokens, linked sets share the first of their common
+  tokens within a prefix of each: all but the ``percent`` of a set, and so many more as are then
+  asked to be shared. Texts are read in batches; each sends the distinct tokens of its prefixes,
+  packed by hash range, to where all batches' tokens of the range meet, and hears which of them
+  another set holds. Sets with too few shared ones link with nothing and end here. A token that many
+  sets hold is sent once for each batch.
 * Groups. The rest is partitioned into groups of similar sets: sets that share one of ``DRAWS`` min
   hashes are compared with one central set of that bucket, and those linked form a group, the
-  others one each.
+  others one each. Sets whose prefixes share too few tokens with other groups are done.
 * Matrix. Rows (token, group) are the union of the tokens of each group's members. A query set's
   overlap with a group's union bounds its overlap with every member. Sets of which fewer than
   ``percent`` tokens lie in unions of other groups are done. For the others, the rarest tokens, so
@@ -49,6 +51,18 @@ BATCH = 4_000_000
 RANGE = 24_000_000
 #: Row number of a token that several sets of its batch hold.
 MANY = 65535
+#: One in so many of a set's tokens is asked to be shared within the prefix.
+ASKED = 5
+
+
+def prefix(n: np.ndarray | Column, percent: int) -> tuple:
+    """(length, least): of two linked sets, either shares ``least`` tokens of its prefix with the other's prefix.
+
+    A set of n tokens shares need = percent * n of them, so at most n - need others precede the first
+    n / ASKED shared ones. The other set has need tokens at least, and asks for no fewer than need / ASKED."""
+    up = lambda x, k: (x + k - 1) // k if isinstance(x, np.ndarray) else F.floor((x + (k - 1)) / k)
+    need = up(percent * n, 100)
+    return n - need + up(n, ASKED), up(need, ASKED)
 
 
 def token_sets(column: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -77,8 +91,8 @@ def _list(values: np.ndarray | pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-def packed_tokens(rows: DataFrame, ranges: int, shingle: int) -> DataFrame:
-    """A row for each batch of (doc_id, _text, _t1, _t2): its sets, and their tokens by hash range."""
+def packed_tokens(rows: DataFrame, ranges: int, percent: int, shingle: int) -> DataFrame:
+    """A row for each batch of (doc_id, _text, _t1, _t2): its sets, and the tokens of their prefixes by hash range."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +103,7 @@ def packed_tokens(rows: DataFrame, ranges: int, shingle: int) -> DataFrame:
             s1, s2 = _sums(mixed(tokens, 51), first), _sums(mixed(tokens, 52), first)
             lone = np.zeros(len(n), bool)
             lone[np.unique(np.stack([s1, s2]), axis=1, return_index=True)[1]] = True  # one of equal sets
-            held = np.repeat(lone, n)
+            held = np.repeat(lone, n) & (np.arange(len(tokens)) - np.repeat(first[:-1], n) < np.repeat(prefix(n, percent)[0], n))
             row = np.repeat(np.arange(len(n)), n)[held]
             key = (tokens[held] & np.uint64(ranges - 1)) << np.uint64(32) | tokens[held] >> np.uint64(32)
             order = np.argsort(key)
@@ -112,7 +126,7 @@ def packed_tokens(rows: DataFrame, ranges: int, shingle: int) -> DataFrame:
 
 
 def shared_counts(lists: DataFrame) -> DataFrame:
-    """(batch, r, c): rows of a batch and how many of their tokens of one range another batch holds."""
+    """(batch, r, c): rows of a batch and how many of the tokens sent of one range another batch sent too."""
     def counted(held: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         batch = np.repeat(np.arange(len(held)), [len(t) for _, t, _ in held])
         token, row = (np.concatenate([x[i] for x in held]) for i in (1, 2))
@@ -145,7 +159,7 @@ def shared_counts(lists: DataFrame) -> DataFrame:
 
 
 def sets_and_company(packed: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, t1, t2, n, s1, s2, company): whether enough of a set's tokens are shared for it to have a link."""
+    """(doc_id, t1, t2, n, s1, s2, company): whether a set's prefix shares enough for it to have a link."""
     fields = ["ids", "t1", "t2", "n", "s1", "s2", "known"]
     kind = packed.schema["ids"].dataType.elementType.simpleString()
     none = lambda like, names: [F.lit(None).cast(like.schema[c].dataType).alias(c) for c in names]
@@ -157,7 +171,7 @@ def sets_and_company(packed: DataFrame, counts: DataFrame, percent: int) -> Data
 
         def out() -> pa.RecordBatch:
             n = own["n"].to_numpy()
-            company = (n > 0) & (100 * shared >= percent * n)
+            company = (n > 0) & (shared >= prefix(n, percent)[1])
             return pa.RecordBatch.from_arrays([*(own[c] for c in fields[:-1]), pa.array(company)],
                                               ["doc_id", *fields[1:-1], "company"])
         for part in parts:
@@ -177,20 +191,21 @@ def sets_and_company(packed: DataFrame, counts: DataFrame, percent: int) -> Data
 
 
 def tokens_of(bodies: DataFrame, shingle: int) -> DataFrame:
-    """(node, n, tokens, draws) of (node, _text)."""
+    """(name, n, tokens, draws) of (name, _text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(BATCH)(batches):
             tokens, first = token_sets(batch.column("_text"), shingle)
             full = first[:-1]  # no set is empty here
             draws = np.stack([np.minimum.reduceat(mixed(tokens, 60 + k), full) for k in range(DRAWS)], axis=1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), pa.array(np.diff(first)), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(tokens.view(np.int64))),
+                [batch.column("name"), pa.array(np.diff(first)), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(tokens.view(np.int64))),
                  pa.ListArray.from_arrays(pa.array(np.arange(0, draws.size + 1, DRAWS, dtype=np.int32)), pa.array(draws.ravel().view(np.int64)))],
-                ["node", "n", "tokens", "draws"])
-    return bodies.select("node", "_text").mapInArrow(run, "node string, n bigint, tokens array<bigint>, draws array<bigint>")
+                ["name", "n", "tokens", "draws"])
+    return bodies.select("name", "_text").mapInArrow(run, "name string, n bigint, tokens array<bigint>, draws array<bigint>")
 
 
-def node(s1: str = "s1", s2: str = "s2") -> Column:
+def name(s1: str = "s1", s2: str = "s2") -> Column:
+    """128 bits that name a set by its tokens."""
     return F.concat(F.lpad(F.hex(s1), 16, "0"), F.lpad(F.hex(s2), 16, "0"))
 
 
@@ -207,7 +222,7 @@ def ordered(a: str, b: str) -> list[Column]:
 
 
 def grouped(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Links of sets to the central set of a bucket, (node, group), and (node, met): in how much company a set was."""
+    """Links of sets to the central set of a bucket, (node, g) of each, and (node, met): in how much company a set was."""
     rows = sets.select("node", F.posexplode("draws").alias("k", "draw"))
     size = rows.groupBy("k", "draw").agg(F.count("*").alias("size")).where("size > 1")
     members = staged(rows.join(size, ["k", "draw"]), "buckets")
@@ -217,18 +232,20 @@ def grouped(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFr
     pairs = members.join(central, ["k", "draw"]).where("node <> centre").select(*ordered("node", "centre")).distinct()
     links = staged(links_among(pairs, sets, percent), "bucket-links")
     groups = components(links)
-    of = sets.select("node").join(groups, F.col("node") == F.col("id"), "left").select("node", F.coalesce("class", "node").alias("group"))
+    of = sets.select("node").join(groups, F.col("node") == F.col("id"), "left").select("node", F.coalesce("class", "node").alias("g"))
     return links, staged(of, "groups"), company
 
 
-def in_company(entries: DataFrame, percent: int) -> DataFrame:
-    """Entries (node, n, g, t) of tokens that several groups hold, with the number of these, ``wide``,
-    for nodes of which enough tokens are such: others have no link outside their group."""
-    cross = entries.groupBy("t").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a < b").select("t")
-    kept = entries.join(cross, "t")
-    enough = kept.groupBy("node").agg(F.count("*").alias("wide"), F.first("n").alias("n")).where(
-        100 * F.col("wide") >= percent * F.col("n")).select("node", "wide")
-    return kept.join(enough, "node")
+def across(entries: DataFrame) -> DataFrame:
+    """Entries (node, n, g, t) whose token several groups hold."""
+    held = entries.groupBy("t").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a < b").select("t")
+    return entries.join(held, "t")
+
+
+def in_company(entries: DataFrame, least: Column) -> DataFrame:
+    """(node, wide): nodes that have ``least`` entries, and how many they have."""
+    return entries.groupBy("node").agg(F.count("*").alias("wide"), F.first("n").alias("n")).where(
+        F.col("wide") >= least).select("node", "wide")
 
 
 def candidate_groups(entries: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -252,13 +269,14 @@ def candidate_groups(entries: DataFrame, percent: int) -> tuple[DataFrame, DataF
 def set_classes(sets: DataFrame, percent: int) -> DataFrame:
     """(node, class) of the sets (node, n, tokens, draws) that are linked with another."""
     links, groups, company = grouped(sets, percent)
-    numbered = staged(groups.withColumn("g", F.xxhash64("group")), "numbered")  # two groups of one number only loosen the bound
-    entries = sets.select("node", "n", F.explode("tokens").alias("t")).join(numbered.select("node", "g"), "node")
-    entries = staged(in_company(entries, percent), "entries")
+    length, least = prefix(F.col("n"), percent)
+    first = sets.select("node", "n", F.explode(F.slice("tokens", F.lit(1), length.cast("int"))).alias("t"))
+    met = staged(in_company(across(first.join(groups, "node")), least), "met-others").select("node")
+    whole = sets.join(met, "node").select("node", "n", F.explode("tokens").alias("t")).join(groups, "node")
+    shared = staged(across(whole), "shared-tokens")
+    entries = staged(shared.join(in_company(shared, F.ceil(percent * F.col("n") / 100)), "node"), "entries")
     if entries.isEmpty():
         return components(links).select(F.col("id").alias("node"), "class")
-    # with those gone that have no company, other sets may have none either
-    entries = staged(in_company(entries.drop("wide"), percent), "entries")
     asked, rare = candidate_groups(entries, percent)
     of = entries.select("node", "g").distinct().join(company, "node", "left")
     centres = of.groupBy("g").agg(F.max(F.struct(F.coalesce("met", F.lit(0)).alias("met"), "node")).alias("c")).select(
@@ -283,20 +301,23 @@ def joined(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, doc_
         {"_t1": F.xxhash64("_text"), "_t2": F.xxhash64(F.lit(1), "_text")})
     size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     ranges = 1 << max(0, (size // RANGE).bit_length())
-    packed = staged(packed_tokens(rows, ranges, shingle), "token-batches")
+    packed = staged(packed_tokens(rows, ranges, percent, shingle), "token-batches")
     found = staged(sets_and_company(packed.drop("parts"), shared_counts(packed.select("batch", F.inline("parts"))), percent).withColumn(
-        "node", node()), "sets")
-    one = found.where("company").groupBy("node").agg(F.min(F.struct("t1", "t2")).alias("k")).select(
-        "node", F.col("k.t1").alias("_t1"), F.col("k.t2").alias("_t2"))
-    bodies = rows.select("_text", "_t1", "_t2").join(one, ["_t1", "_t2"]).groupBy("node").agg(F.first("_text").alias("_text"))
-    sets = staged(tokens_of(bodies, shingle), "token-sets")
-    classes = set_classes(sets, percent)
+        "name", name()), "sets")
+    one = found.where("company").groupBy("name").agg(F.min(F.struct("t1", "t2")).alias("k")).select(
+        "name", F.col("k.t1").alias("_t1"), F.col("k.t2").alias("_t2"))
+    bodies = rows.select("_text", "_t1", "_t2").join(one, ["_t1", "_t2"]).groupBy("name").agg(F.first("_text").alias("_text"))
+    # numbers, once written, are short names
+    sets = staged(tokens_of(bodies, shingle).withColumn("node", F.monotonically_increasing_id()), "token-sets")
+    classes = set_classes(sets, percent).join(sets.select("node", "name"), "node").select("name", "class")
     # sets first, so that rows of one set or class meet as one row each
-    least = found.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("low"))
-    named = least.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    ids = staged(named.join(named.groupBy("class").agg(F.min("low").alias("component_id")), "class").select("node", "component_id"), "component-ids")
+    least = found.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("low"))
+    named = staged(least.join(classes, "name", "left"), "named")
+    low = named.where("class IS NOT NULL").groupBy("class").agg(F.min("low").alias("component_id"))
+    ids = named.join(low, "class", "left").select("name", F.when(F.col("class").isNull(), F.col("low")).otherwise(
+        F.col("component_id")).alias("component_id"))
     return found.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")).unionByName(
-        found.where("n > 0").join(ids, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id"))
+        found.where("n > 0").join(staged(ids, "component-ids"), "name").select("doc_id", F.col("n").alias("n_shingles"), "component_id"))
 
 
 def op11_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,7 +325,7 @@ def op11_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP11_SQL = r"""
-WITH RECURSIVE worded AS (SELECT row_number() OVER () AS r, doc_id,
+WITH RECURSIVE worded AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id,
     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
       '[^\x20\x09-\x0D]+') AS w FROM documents),
 shingled AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[])
@@ -312,13 +333,13 @@ shingled AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[])
     ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM worded),
 sets AS (SELECT min(r) AS node, s, len(s) AS n FROM (SELECT r, list_sort(s) AS s FROM shingled) GROUP BY s HAVING len(s) > 0),
 tokens AS (SELECT node, n, unnest(s) AS t FROM sets),
-overlaps AS (SELECT a.node AS a, b.node AS b FROM tokens a JOIN tokens b ON a.t = b.t AND a.node <> b.node
+linked AS (SELECT a.node AS a, b.node AS b FROM tokens a JOIN tokens b ON a.t = b.t AND a.node <> b.node
   GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
-reach(a, b) AS (SELECT node, node FROM sets UNION SELECT r.a, o.b FROM reach r JOIN overlaps o ON r.b = o.a),
-rows AS (SELECT h.doc_id, len(h.s) AS n, s.node FROM shingled h LEFT JOIN sets s ON list_sort(h.s) = s.s),
-least AS (SELECT node, min(doc_id) AS low FROM rows GROUP BY node),
+reach(a, b) AS (SELECT node, node FROM sets UNION SELECT r.a, o.b FROM reach r JOIN linked o ON r.b = o.a),
+row_sets AS (SELECT h.doc_id, len(h.s) AS n, s.node FROM shingled h LEFT JOIN sets s ON list_sort(h.s) = s.s),
+least AS (SELECT node, min(doc_id) AS low FROM row_sets GROUP BY node),
 named AS (SELECT r.a AS node, min(l.low) AS component_id FROM reach r JOIN least l ON r.b = l.node GROUP BY r.a)
-SELECT rows.doc_id, CAST(rows.n AS BIGINT) AS n_shingles,
-  CASE WHEN rows.n = 0 THEN rows.doc_id ELSE named.component_id END AS component_id
-FROM rows LEFT JOIN named ON rows.node = named.node
+SELECT row_sets.doc_id, CAST(row_sets.n AS BIGINT) AS n_shingles,
+  CASE WHEN row_sets.n = 0 THEN row_sets.doc_id ELSE named.component_id END AS component_id
+FROM row_sets LEFT JOIN named ON row_sets.node = named.node
 """
