@@ -21,6 +21,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def shipped(spark: SparkSession) -> None:
     """Gives the package to Python workers that can't import it, once for each Spark context."""
+    small_batches(spark)
     sc = spark.sparkContext
     root = Path(__file__).resolve().parents[2]
     name = f"{Path(__file__).parents[1].name}.zip"
@@ -33,6 +34,13 @@ def shipped(spark: SparkSession) -> None:
     sc.addPyFile(str(path))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB, where the session left the default of 64: a task may hold several copies of one."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, "8000000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     shipped(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -13,13 +13,15 @@ if either shares its ``percent`` of tokens with others, and that is used twice.
   hashes are compared with one central set of that bucket, and those linked form a group, the
   others one each. Sets whose prefixes share too few tokens with other groups are done.
 * Matrix. Rows (token, group) are the union of the tokens of each group's members. A query set's
-  overlap with a group's union bounds its overlap with every member. Sets of which fewer than
-  ``percent`` tokens lie in unions of other groups are done. For the others, the rarest tokens, so
-  many that a linked set must hold one of them, name the candidate groups, and the full overlap
-  with these is counted.
-* Opening. A group opens to a query if the bound and its members' sizes allow a link: first its
-  central set, then, where that joined nothing, every member that shares one of the query's rarest
-  tokens. Each comparison is an exact intersection.
+  overlap with a group's union bounds its overlap with every member. Of a pair the smaller set is the
+  query. Sets of which fewer than ``percent`` tokens lie in unions of other groups are done. For the
+  others, the rarest tokens, so many that a linked set must hold one of them among its own rarest,
+  name the candidate groups, and the full overlap with these is counted.
+  Groups of two or more come first, with their central sets only: what joins them is in their group
+  when the others are looked at.
+* Opening. A group opens to a query if the bound allows a link: first its central set, then, where
+  that joined nothing, every member of a fitting size that shares one of the rarest tokens. Each
+  comparison is an exact intersection.
 
 Every step but the groups' formation is a bound that holds for every link, so none is lost whatever
 the groups are; sets of one group are not compared further, since that can't change a component.
@@ -45,12 +47,14 @@ from pyspark.sql import functions as F
 from .common import Words, by_size, components, mixed, staged, table, text_of, windows
 
 SHINGLE, PERCENT = 5, 80
-DRAWS = 6
+DRAWS, CENTRES = 6, 3
 BATCH = 4_000_000
 #: Bytes of text for each hash range of tokens: a task holds one range at a time.
-RANGE = 24_000_000
+RANGE = 12_000_000
 #: Row number of a token that several sets of its batch hold.
 MANY = 65535
+#: Sizes of sets within a bucket differ by so much.
+WIDTH = 0.02
 #: One in so many of a set's tokens is asked to be shared within the prefix.
 ASKED = 5
 
@@ -159,7 +163,7 @@ def shared_counts(lists: DataFrame) -> DataFrame:
 
 
 def sets_and_company(packed: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, t1, t2, n, s1, s2, company): whether a set's prefix shares enough for it to have a link."""
+    """(doc_id, t1, t2, n, s1, s2, share): how much of its prefix a set shares, null if too little for a link."""
     fields = ["ids", "t1", "t2", "n", "s1", "s2", "known"]
     kind = packed.schema["ids"].dataType.elementType.simpleString()
     none = lambda like, names: [F.lit(None).cast(like.schema[c].dataType).alias(c) for c in names]
@@ -171,9 +175,9 @@ def sets_and_company(packed: DataFrame, counts: DataFrame, percent: int) -> Data
 
         def out() -> pa.RecordBatch:
             n = own["n"].to_numpy()
-            company = (n > 0) & (shared >= prefix(n, percent)[1])
-            return pa.RecordBatch.from_arrays([*(own[c] for c in fields[:-1]), pa.array(company)],
-                                              ["doc_id", *fields[1:-1], "company"])
+            length, least = prefix(n, percent)
+            share = pa.array(shared / np.maximum(length, 1), mask=(n == 0) | (shared < least))
+            return pa.RecordBatch.from_arrays([*(own[c] for c in fields[:-1]), share], ["doc_id", *fields[1:-1], "share"])
         for part in parts:
             for j in range(part.num_rows):
                 if part.column("n")[j].is_valid:  # a batch's own row comes before the counts
@@ -187,21 +191,21 @@ def sets_and_company(packed: DataFrame, counts: DataFrame, percent: int) -> Data
         if own is not None:
             yield out()
     return both.repartition("batch").sortWithinPartitions("batch", F.col("n").isNull()).mapInArrow(
-        run, f"doc_id {kind}, t1 bigint, t2 bigint, n bigint, s1 bigint, s2 bigint, company boolean")
+        run, f"doc_id {kind}, t1 bigint, t2 bigint, n bigint, s1 bigint, s2 bigint, share double")
 
 
 def tokens_of(bodies: DataFrame, shingle: int) -> DataFrame:
-    """(name, n, tokens, draws) of (name, _text)."""
+    """(name, share, n, tokens, draws) of (name, share, _text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(BATCH)(batches):
             tokens, first = token_sets(batch.column("_text"), shingle)
             full = first[:-1]  # no set is empty here
             draws = np.stack([np.minimum.reduceat(mixed(tokens, 60 + k), full) for k in range(DRAWS)], axis=1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("name"), pa.array(np.diff(first)), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(tokens.view(np.int64))),
+                [batch.column("name"), batch.column("share"), pa.array(np.diff(first)), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(tokens.view(np.int64))),
                  pa.ListArray.from_arrays(pa.array(np.arange(0, draws.size + 1, DRAWS, dtype=np.int32)), pa.array(draws.ravel().view(np.int64)))],
-                ["name", "n", "tokens", "draws"])
-    return bodies.select("name", "_text").mapInArrow(run, "name string, n bigint, tokens array<bigint>, draws array<bigint>")
+                ["name", "share", "n", "tokens", "draws"])
+    return bodies.select("name", "share", "_text").mapInArrow(run, "name string, share double, n bigint, tokens array<bigint>, draws array<bigint>")
 
 
 def name(s1: str = "s1", s2: str = "s2") -> Column:
@@ -221,19 +225,22 @@ def ordered(a: str, b: str) -> list[Column]:
     return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
 
 
-def grouped(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Links of sets to the central set of a bucket, (node, g) of each, and (node, met): in how much company a set was."""
-    rows = sets.select("node", F.posexplode("draws").alias("k", "draw"))
-    size = rows.groupBy("k", "draw").agg(F.count("*").alias("size")).where("size > 1")
-    members = staged(rows.join(size, ["k", "draw"]), "buckets")
-    company = staged(members.groupBy("node").agg(F.sum("size").alias("met")), "company")
-    central = members.join(company, "node").groupBy("k", "draw").agg(F.max(F.struct("met", "node")).alias("c")).select(
-        "k", "draw", F.col("c.node").alias("centre"))
-    pairs = members.join(central, ["k", "draw"]).where("node <> centre").select(*ordered("node", "centre")).distinct()
+def grouped(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links of sets to the central sets of a bucket, and (node, g, share) with each set's group.
+
+    The set that shares most of its tokens is central: what edited copies have in common is the text
+    they come from, while each has tokens of its own."""
+    rows = sets.select("node", "share", F.posexplode("draws").alias("k", "draw"))
+    # among equals, as many as CENTRES
+    best = [F.max(F.struct("share", F.xxhash64("node", F.lit(i)).alias("h"), "node"))["node"] for i in range(CENTRES)]
+    central = staged(rows.groupBy("k", "draw").agg(F.array_distinct(F.array(*best)).alias("c"), F.count("*").alias("size")).where(
+        "size > 1").select("k", "draw", F.explode("c").alias("centre")), "centres")
+    pairs = rows.join(central, ["k", "draw"]).where("node <> centre").select(*ordered("node", "centre")).distinct()
     links = staged(links_among(pairs, sets, percent), "bucket-links")
     groups = components(links)
-    of = sets.select("node").join(groups, F.col("node") == F.col("id"), "left").select("node", F.coalesce("class", "node").alias("g"))
-    return links, staged(of, "groups"), company
+    of = sets.select("node", "share").join(groups, F.col("node") == F.col("id"), "left").select(
+        "node", F.coalesce("class", "node").alias("g"), "share")
+    return links, staged(of, "groups")
 
 
 def across(entries: DataFrame) -> DataFrame:
@@ -248,49 +255,93 @@ def in_company(entries: DataFrame, least: Column) -> DataFrame:
         F.col("wide") >= least).select("node", "wide")
 
 
-def candidate_groups(entries: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(node, n, h): groups h, of a smaller number than the node's own, whose union holds enough of its
-    tokens; and the rarest tokens (node, n, g, t) of which two linked sets of different groups share one."""
-    matrix = staged(entries.select("t", "g").distinct(), "matrix")
-    often = matrix.groupBy("t").agg(F.count("*").alias("df"))
+def bucket(size: Column) -> Column:
+    return F.floor(F.log(size.cast("double")) / float(np.log(1 + WIDTH)) + 1e-9).cast("int")
+
+
+def rarest(entries: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(node, n, g, t, b) of queries, and of the sets that they look for: the rarest tokens, of which a
+    linked pair of different groups shares one in one bucket b.
+
+    The smaller set of a pair is the query. Sets of sizes a <= b share at least percent * (a + b) /
+    (100 + percent), so a query asks for a greater share of its tokens, and from what a larger set
+    shares at all, ``wide``, follows up to which size its partners go: b are buckets of sizes."""
+    often = entries.select("t", "g").distinct().groupBy("t").agg(F.count("*").alias("df"))
     rank = F.row_number().over(W.partitionBy("node").orderBy("df", "t"))
+    part, full = F.ceil(percent * F.col("n") / 100), least_overlap(percent)
     # tokens of the own group alone come first in the order, so they take their share of the prefix
-    need = F.floor((percent * F.col("n") + 99) / 100)
-    rare = staged(entries.join(often, "t").withColumn("rank", rank).where(
-        F.col("rank") <= F.col("wide") - need + 1).select("node", "n", "g", "t"), "rare-tokens")
-    pairs = rare.join(matrix.select("t", F.col("g").alias("h")), "t").where("h < g").select("node", "n", "h").distinct()
-    bounded = entries.select("node", "t").join(pairs, "node").join(matrix.select("t", F.col("g").alias("h")), ["t", "h"]).groupBy(
-        "node", "n", "h").agg(F.count("*").alias("overlap")).where(100 * F.col("overlap") >= percent * F.col("n"))
-    sizes = entries.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most")).withColumnRenamed("g", "h")
-    fits = (100 * F.col("most") >= percent * F.col("n")) & (percent * F.col("least") <= 100 * F.col("n"))
-    return staged(bounded.join(sizes, "h").where(fits).select("node", "n", "h"), "candidate-groups"), rare
+    ranked = staged(entries.join(often, "t").withColumn("rank", rank).where(F.col("rank") <= F.col("wide") - part + 1).withColumn(
+        "most", F.floor((100 + percent) * F.col("wide") / percent) - F.col("n")), "rare-tokens")
+    asking = ranked.where((F.col("most") >= F.col("n")) & (F.col("rank") <= F.col("wide") - full + 1)).select(
+        "node", "n", "g", "t", bucket(F.col("n")).alias("b"))
+    asked = ranked.where(F.col("most") >= part).select("node", "n", "g", "t", F.explode(F.sequence(
+        bucket(part), bucket(F.least("most", "n")))).alias("b"))
+    return asking, asked
+
+
+def least_overlap(percent: int) -> Column:
+    """Tokens that a query of n tokens shares with a linked set of its size or more."""
+    return F.ceil(2 * percent * F.col("n") / (100 + percent))
+
+
+def centres(entries: DataFrame, groups: DataFrame) -> DataFrame:
+    """(g, centre, size): of each group the set that shares most of its tokens, and its number of sets."""
+    wide = entries.select("node", (F.col("wide") / F.col("n")).alias("part")).distinct()
+    return groups.join(wide, "node").groupBy("g").agg(F.max(F.struct("part", "share", "node")).alias("c"), F.count("*").alias("size")).select(
+        "g", F.col("c.node").alias("centre"), "size")
+
+
+def to_large_groups(entries: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(a, b): sets with central sets of groups of two or more, where the rarest tokens allow a link."""
+    asking, asked = rarest(entries, percent)
+    large = centres(entries, groups).where("size > 1").select(F.col("centre").alias("node"))
+    out = [x.select("t", "b", "node", "g").join(y.join(large, "node").select("t", "b", F.col("node").alias("centre"), F.col("g").alias("h")), ["t", "b"]).where(
+        "g <> h").select(*ordered("node", "centre")) for x, y in ((asking, asked), (asked, asking))]
+    return out[0].union(out[1]).distinct()
+
+
+def candidate_groups(entries: DataFrame, asking: DataFrame, asked: DataFrame, percent: int) -> DataFrame:
+    """(node, n, g, h, overlap): groups h whose union holds enough of a query's tokens for a link."""
+    by_size = asked.select("t", "b", F.col("g").alias("h")).distinct()
+    pairs = staged(asking.join(by_size, ["t", "b"]).where("h <> g").select("node", "n", "g", "h").distinct(), "query-groups")
+    matrix = entries.select("t", F.col("g").alias("h")).distinct()
+    return entries.select("node", "t").join(pairs, "node").join(matrix, ["t", "h"]).groupBy("node", "n", "g", "h").agg(
+        F.count("*").alias("overlap")).where(F.col("overlap") >= least_overlap(percent))
+
+
+def regrouped(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, g, share) by the links so far."""
+    return nodes.select("node", "share").join(components(links), F.col("node") == F.col("id"), "left").select(
+        "node", F.coalesce("class", "node").alias("g"), "share")
 
 
 def set_classes(sets: DataFrame, percent: int) -> DataFrame:
-    """(node, class) of the sets (node, n, tokens, draws) that are linked with another."""
-    links, groups, company = grouped(sets, percent)
+    """(node, class) of the sets (node, share, n, tokens, draws) that are linked with another."""
+    links, groups = grouped(sets, percent)
+    of = groups.select("node", "g")
     length, least = prefix(F.col("n"), percent)
+    enough = F.ceil(percent * F.col("n") / 100)
     first = sets.select("node", "n", F.explode(F.slice("tokens", F.lit(1), length.cast("int"))).alias("t"))
-    met = staged(in_company(across(first.join(groups, "node")), least), "met-others").select("node")
-    whole = sets.join(met, "node").select("node", "n", F.explode("tokens").alias("t")).join(groups, "node")
+    met = staged(in_company(across(first.join(of, "node")), least), "met-others").select("node")
+    whole = sets.join(met, "node").select("node", "n", F.explode("tokens").alias("t")).join(of, "node")
     shared = staged(across(whole), "shared-tokens")
-    entries = staged(shared.join(in_company(shared, F.ceil(percent * F.col("n") / 100)), "node"), "entries")
-    if entries.isEmpty():
-        return components(links).select(F.col("id").alias("node"), "class")
-    asked, rare = candidate_groups(entries, percent)
-    of = entries.select("node", "g").distinct().join(company, "node", "left")
-    centres = of.groupBy("g").agg(F.max(F.struct(F.coalesce("met", F.lit(0)).alias("met"), "node")).alias("c")).select(
-        F.col("g").alias("h"), F.col("c.node").alias("centre"))
-    tested = staged(asked.join(centres, "h").select(*ordered("node", "centre")).distinct(), "opened-first")
+    entries = staged(shared.join(in_company(shared, enough), "node"), "entries")
+    # to large groups first: what joins them needs no comparison with their members
+    links = staged(links.union(links_among(to_large_groups(entries, groups, percent), sets, percent)), "links-to-large-groups")
+    groups = staged(regrouped(groups, links), "groups-again")
+    shared = staged(across(entries.drop("g", "wide").join(groups.select("node", "g"), "node")), "still-shared")
+    entries = staged(shared.join(in_company(shared, enough), "node"), "entries-again")
+    asking, asked = rarest(entries, percent)
+    found = staged(candidate_groups(entries, asking, asked, percent), "candidate-groups")
+    tested = staged(found.join(centres(entries, groups).select(F.col("g").alias("h"), "centre"), "h").select(
+        *ordered("node", "centre")).distinct(), "opened-first")
     links = staged(links.union(links_among(tested, sets, percent)), "links")
-    joined = components(links).select(F.col("id").alias("node"), "class")
-    now = staged(entries.select("node", "g").distinct().join(joined, "node", "left").select(
-        "node", "g", F.coalesce("class", "node").alias("class")), "classes")
-    x = asked.join(now.select("node", F.col("class").alias("x")), "node")
-    open_ = rare.select("node", "t").join(x.select("node", "h", "x"), "node")
-    y = rare.select(F.col("node").alias("other"), F.col("g").alias("h"), "t").join(
+    now = staged(regrouped(entries.select("node").distinct().join(groups, "node"), links).select("node", F.col("g").alias("class")), "classes")
+    x = asking.select("node", "t", "b").join(found, "node").join(now.withColumnRenamed("class", "x"), "node")
+    y = asked.select(F.col("node").alias("other"), F.col("n").alias("m"), F.col("g").alias("h"), "t", "b").join(
         now.select(F.col("node").alias("other"), F.col("class").alias("y")), "other")
-    rest = open_.join(y, ["t", "h"]).where("x <> y").select(*ordered("node", "other")).distinct().join(tested, ["a", "b"], "left_anti")
+    allowed = (F.col("x") != F.col("y")) & (F.col("n") <= F.col("m")) & (percent * (F.col("n") + F.col("m")) <= (100 + percent) * F.col("overlap"))
+    rest = x.join(y, ["t", "b", "h"]).where(allowed).select(*ordered("node", "other")).distinct().join(tested, ["a", "b"], "left_anti")
     return components(staged(links.union(links_among(rest, sets, percent)), "all-links")).select(F.col("id").alias("node"), "class")
 
 
@@ -304,9 +355,10 @@ def joined(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, doc_
     packed = staged(packed_tokens(rows, ranges, percent, shingle), "token-batches")
     found = staged(sets_and_company(packed.drop("parts"), shared_counts(packed.select("batch", F.inline("parts"))), percent).withColumn(
         "name", name()), "sets")
-    one = found.where("company").groupBy("name").agg(F.min(F.struct("t1", "t2")).alias("k")).select(
-        "name", F.col("k.t1").alias("_t1"), F.col("k.t2").alias("_t2"))
-    bodies = rows.select("_text", "_t1", "_t2").join(one, ["_t1", "_t2"]).groupBy("name").agg(F.first("_text").alias("_text"))
+    one = found.where("share IS NOT NULL").groupBy("name").agg(F.min(F.struct("t1", "t2")).alias("k"), F.max("share").alias("share")).select(
+        "name", "share", F.col("k.t1").alias("_t1"), F.col("k.t2").alias("_t2"))
+    bodies = rows.select("_text", "_t1", "_t2").join(one, ["_t1", "_t2"]).groupBy("name").agg(
+        F.first("_text").alias("_text"), F.first("share").alias("share"))
     # numbers, once written, are short names
     sets = staged(tokens_of(bodies, shingle).withColumn("node", F.monotonically_increasing_id()), "token-sets")
     classes = set_classes(sets, percent).join(sets.select("node", "name"), "node").select("name", "class")

@@ -69,9 +69,8 @@ def test_links_against_all_pairs(spark, monkeypatch, draws):
 def test_groups_of_one_lose_no_link(spark, monkeypatch):
     """Without any group formed beforehand, every link comes through the matrix."""
     def lone(sets, percent):
-        groups = sets.select("node", F.col("node").alias("g"))
         none = sets.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
-        return none, groups, sets.select("node", F.lit(1).cast("long").alias("met"))
+        return none, sets.select("node", F.col("node").alias("g"), "share")
     monkeypatch.setattr(jaccard, "grouped", lone)
     monkeypatch.setattr(jaccard, "RANGE", 2_000)
     rows = around_the_threshold()
