@@ -21,7 +21,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def shipped(spark: SparkSession) -> None:
     """Gives the package to Python workers that can't import it, once for each Spark context."""
-    small_batches(spark)
     sc = spark.sparkContext
     root = Path(__file__).resolve().parents[2]
     name = f"{Path(__file__).parents[1].name}.zip"

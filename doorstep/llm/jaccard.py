@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Words, by_size, components, mixed, staged, table, text_of, windows
+from .common import Words, by_size, components, mixed, small_batches, staged, table, text_of, windows
 
 SHINGLE, PERCENT = 5, 80
 DRAWS, CENTRES = 6, 3
@@ -347,6 +347,7 @@ def set_classes(sets: DataFrame, percent: int) -> DataFrame:
 
 def joined(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs``."""
+    small_batches(docs.sparkSession)
     body = text_of(docs, text)
     rows = docs.select(F.col(doc_id).alias("doc_id"), body.alias("_text")).withColumns(
         {"_t1": F.xxhash64("_text"), "_t2": F.xxhash64(F.lit(1), "_text")})

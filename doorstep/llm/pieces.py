@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import by_size, table, text_of
 
 BLANK = "▁"
-#: Chunks kept for reuse in one Python worker, and the longest that is kept.
-KEPT, KEPT_LENGTH = 700_000, 24
+#: Chunks and pairs of pieces kept for reuse within a task, and the longest chunk that is kept.
+KEPT, PAIRS, KEPT_LENGTH = 100_000, 200_000, 24
 
 
 class Pieces:
@@ -76,6 +76,8 @@ class Pieces:
             parts[i:i + 2] = [parts[i] + parts[i + 1]]
 
     def compatible(self, left: int, right: int) -> bool:
+        if len(self.fits) >= PAIRS:
+            self.fits.clear()
         known = self.fits[left << 32 | right] = self.merged(self.piece[left] + self.piece[right]) == [left, right]
         return known
 
@@ -157,6 +159,11 @@ class Encoder:
         self.kept = Kept(self.pieces)
         self.ends = [packed([i]) for i in (self.pieces.begin, self.pieces.end)]
 
+    def forget(self) -> None:
+        """Frees what was kept: the worker may go on with tasks of other stages."""
+        self.kept.clear()
+        self.pieces.fits.clear()
+
     def encode(self, text: str) -> bytes:
         """Packed ids with begin and end."""
         marked = (BLANK + text).replace(" ", BLANK) if text else ""
@@ -183,12 +190,15 @@ def encoded(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(model)
-        for batch in by_size(4_000_000)(batches):
-            ids = [code.encode(t) for t in batch.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in kept), pa.array(ids, pa.binary()),
-                 pa.array([len(x) // 4 for x in ids], pa.int64()),
-                 pa.array([code.decode(x) for x in ids], pa.string())], [*kept, *new])
+        try:
+            for batch in by_size(4_000_000)(batches):
+                ids = [code.encode(t) for t in batch.column("_text").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c) for c in kept), pa.array(ids, pa.binary()),
+                     pa.array([len(x) // 4 for x in ids], pa.int64()),
+                     pa.array([code.decode(x) for x in ids], pa.string())], [*kept, *new])
+        finally:
+            code.forget()
     return source.mapInArrow(run, schema)
 
 
