@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import params as P
 from .. import schemas
 from ..functions.scalar import flag, katz_columns, ratio
 from .economics import annualised_exposure, exemplar
+from .rangesum import DAY_BITS, SECOND_BITS, totals_before
 from .ranks import quantile_bins, quantiles, spearman
 from .views import resolved
 
@@ -351,29 +352,66 @@ def leakage_checks(t: Tables, view_columns: Sequence[str], auc_ceiling: float |
     return union(rows)
 
 
-def pit_integrity(t: Tables) -> DataFrame:
-    """LK-04: the stored snapshot against independent counts over each customer's orders.
+#: Stored counter, what it starts from, and the re-derived sum that is added to it.
+REDERIVED = {
+    "pit_orders_placed": ("pre_window_orders", "placed"),
+    "pit_orders_delivered": ("pre_window_delivered", "delivered"),
+    "pit_orders_resolved": ("pre_window_delivered + pre_window_rto_count", "resolved"),
+    "pit_rto_count": ("pre_window_rto_count", "rto"),
+    "pit_cod_orders": ("pre_window_cod_orders", "cod"),
+    "pit_prepaid_success_count": ("pre_window_prepaid_success", "success"),
+    "pit_payment_failure_count": ("pre_window_payment_failures", "failure"),
+}
+
+
+def rederived_counters(t: Tables) -> DataFrame:
+    """The ``pit_*`` counters of every session from orders, sessions and seeds, by range sums.
 
-    The re-derivation is per order instead of per session: an order's rank among its
-    customer's placements is what the session that created it must have seen, counted
-    here from the order table alone at day grain with second ranks inside the day.
+    Nothing is shared with the stored state's own path but the rules: placements and payment
+    results count from the next second, outcomes from the day after they resolved.
     """
-    o = t["fct_order"].select("session_id", "customer_id", "order_date", "order_ts")
-    per_day = o.groupBy("customer_id", "order_date").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("customer_id").orderBy("order_date").rowsBetween(
-        Window.unboundedPreceding, -1)
-    per_day = per_day.withColumn("earlier_days", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    inside = Window.partitionBy("customer_id", "order_date").orderBy("order_ts")
-    ranked = o.withColumn("earlier_today", F.rank().over(inside) - 1)
-    seed = t["customer_base"].select("customer_id", "pre_window_orders")
-    j = (ranked.join(per_day, ["customer_id", "order_date"]).join(seed, "customer_id")
-         .join(t["fct_customer_state_at_session"].select("session_id", "pit_orders_placed"),
-               "session_id"))
-    bad = F.col("pit_orders_placed") != (F.col("pre_window_orders") + F.col("earlier_days")
-                                         + F.col("earlier_today"))
-    one = j.agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("bad"))
+    second = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
+    day = lambda c: F.unix_date(F.col(c))
+    o, s = t["fct_order"], t["fct_checkout_session"]
+    one = lambda c: F.coalesce(c, F.lit(False)).cast("long")
+    zero = F.lit(0).cast("long")
+    attempts = F.col("payment_attempt_count")
+    failed = (attempts > 0) & ((attempts > 1) | F.col("switched_to_cod_after_failure")
+                               | (F.col("abandon_step") == "PAYMENT_FAILURE"))
+    moments = o.select("customer_id", second("order_ts").alias("at"), F.lit(1).cast("long").alias("placed"),
+                       one(F.col("payment_method") == "COD").alias("cod"), zero.alias("success"),
+                       zero.alias("failure")).unionByName(s.select(
+        "customer_id", second("session_start_ts").alias("at"), zero.alias("placed"), zero.alias("cod"),
+        one(F.col("final_payment_method") == "PREPAID").alias("success"), one(failed).alias("failure")))
+    outcomes = o.where("outcome_resolved_date IS NOT NULL").select(
+        "customer_id", day("outcome_resolved_date").alias("day"), F.lit(1).cast("long").alias("resolved"),
+        one(F.col("rto_flag")).alias("rto"), one(F.col("is_delivered")).alias("delivered"))
+    keys = s.select("session_id", "customer_id", second("session_start_ts").alias("at"), day("date_id").alias("day"))
+    early = totals_before(keys, moments, "customer_id", "at", ["placed", "cod", "success", "failure"], SECOND_BITS)
+    known = totals_before(keys, outcomes, "customer_id", "day", ["resolved", "rto", "delivered"], DAY_BITS)
+    seeds = t["customer_base"].select("customer_id", *[c for c in t["customer_base"].columns if c.startswith("pre_window_")])
+    j = keys.join(early, ["customer_id", "at"]).join(known, ["customer_id", "day"]).join(seeds, "customer_id")
+    return j.select("session_id", *[(F.expr(seed) + F.col(inner)).cast("long").alias(c)
+                                    for c, (seed, inner) in REDERIVED.items()])
+
+
+def pit_mismatches(t: Tables) -> DataFrame:
+    """One row for each counter: sessions compared, and those whose stored value is another or missing."""
+    stored = t["fct_customer_state_at_session"].select("session_id", *[F.col(c).alias(f"_{c}") for c in REDERIVED])
+    j = rederived_counters(t).join(stored, "session_id", "full_outer")
+    wrong = [F.count_if(~F.col(c).eqNullSafe(F.col(f"_{c}").cast("long"))).alias(c) for c in REDERIVED]
+    one = j.agg(F.count(F.lit(1)).alias("sessions"), *wrong)
+    return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("counter"), F.col("sessions"), F.col(c).alias("mismatches"))
+                                         for c in REDERIVED])))
+
+
+def pit_integrity(t: Tables) -> DataFrame:
+    """LK-04: every stored point-in-time counter against its re-derivation."""
+    wrong = F.transform(F.array_sort(F.collect_list(F.when(F.col("mismatches") > 0, F.struct("counter", "mismatches")))),
+                        lambda x: F.concat_ws(" ", x["counter"], x["mismatches"]))
+    one = pit_mismatches(t).agg(F.sum("mismatches").alias("bad"), F.array_join(wrong, ", ").alias("which"))
     return check(one, "LK-04", "point-in-time integrity", "HARD", F.col("bad") == 0, "0",
-                 F.col("bad"))
+                 F.when(F.col("bad") == 0, F.lit("0")).otherwise(F.col("which")))
 
 
 def _bad(df: DataFrame, cond: Column) -> DataFrame:

@@ -21,7 +21,7 @@ def policy_frame(m):
                                                    "pit_has_history")
     e = m["fct_order_economics"].select("order_id", "contribution_margin")
     j = o.join(g, "delivery_geography_id").join(st, "session_id").join(e, "order_id")
-    key = F.substring("order_id", 5, 10).cast("long")
+    key = F.expr("substring(order_id, 5)").cast("long")
     tier = lookup("geo_tier", {t: i for i, t in enumerate(P.GEO_TIERS)})
     points = (key * 7919) % 700 + F.when(F.col("payment_method") == "COD", 200).otherwise(0) \
         + 25 * tier

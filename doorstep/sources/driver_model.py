@@ -153,7 +153,7 @@ SQL: dict[str, str] = {
              sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) AS signups,
              sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS purchases,
              sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS errors,
-             min_by(cast(regexp_extract(props, '"k": *([0-9]+)', 1) AS bigint), (ts, event_id))
+             min_by(try_cast(regexp_extract(props, '"k": *([0-9]+)', 1) AS bigint), (ts, event_id))
                AS looked_at
       FROM events GROUP BY user_id, cast(ts AS date)""",
     "fct_checkout_session": f"""
