@@ -15,6 +15,7 @@ from ..functions.scalar import diff_ci_columns, flag, latent_noise_attenuation,
     tenure_bucket
 from . import features as X
 from .funnel import standardised, two_arm_cells
+from .irls import ManyFit, average_gains, fit_many
 from .matching import matched_effect, nearest_controls
 from .models import LogitFit, fit_logit, linear_r2, with_columns
 from .ranks import auc_ks, score_table, spearman
@@ -85,6 +86,12 @@ def effects(conf: Confounders, names: Sequence[str] | None = None) -> tuple[Logi
     return fit, row.ate, row.att
 
 
+def effects_of(conf: Confounders, specs: dict[str, Sequence[str]]) -> tuple[dict[str, ManyFit], dict[str, tuple[float, float]]]:
+    """The outcome model with treatment for each list of confounders, fitted together, and each one's ATE and ATT."""
+    fits, _ = fit_many(conf.frame, "y", {s: ["is_cod", *names] for s, names in specs.items()})
+    return fits, average_gains(conf.frame, "is_cod", fits)
+
+
 def logistic_adjusted(pop: DataFrame) -> DataFrame:
     """Average marginal effect with every observed confounder held."""
     conf = Confounders.build(pop)
@@ -144,14 +151,15 @@ def ablate_suspect(pop: DataFrame, truth: float = 0.0,
     Shares are of the measured unadjusted gap; without a known ``truth`` they count towards 0.
     """
     conf = Confounders.build(pop)
-    naive = effects(conf, [])[2]
+    specs = {"full confounder set": conf.names,
+             f"minus {suspect}": [n for n in conf.names if not n.startswith(suspect)]}
+    fits, gains = effects_of(conf, {"none": [], **specs})
+    naive = gains["none"][1]
     out = []
-    for label, names in (("full confounder set", conf.names),
-                         (f"minus {suspect}",
-                          [n for n in conf.names if not n.startswith(suspect)])):
-        fit, ate, att = effects(conf, names)
+    for label, names in specs.items():
+        ate, att = gains[label]
         out.append([label, len(names), att, ate, closed_share(att, truth, naive),
-                    closed_share(ate, truth, naive), fit.coef["is_cod"], fit.pseudo_r2])
+                    closed_share(ate, truth, naive), fits[label].coef["is_cod"], fits[label].pseudo_r2])
     conf.close()
     for row, blank in zip(out, ((), (suspect,))):
         psm = propensity_matched(pop, blank=blank).first()
@@ -169,16 +177,18 @@ def confounder_contributions(pop: DataFrame, truth: float = 0.0,
     Shares are of the measured unadjusted gap, as in :func:`ablate_suspect`.
     """
     conf = Confounders.build(pop)
-    full, _, full_att = effects(conf)
-    null, _, null_att = effects(conf, [])
+    chosen = {b: cols for b, cols in X.blocks(conf.names).items() if only is None or b in only}
+    # names of two words can't be blocks
+    fits, gains = effects_of(conf, {"all of them": conf.names, "none at all": [], **{
+        block: [n for n in conf.names if n not in cols] for block, cols in chosen.items()}})
+    full, null = fits["all of them"], fits["none at all"]
+    full_att, null_att = gains["all of them"][1], gains["none at all"][1]
     explained = null.deviance - full.deviance
     naive = null_att
     full_closed = closed_share(full_att, truth, naive)
     out = []
-    for block, cols in X.blocks(conf.names).items():
-        if only is not None and block not in only:
-            continue
-        fit, _, att = effects(conf, [n for n in conf.names if n not in cols])
+    for block, cols in chosen.items():
+        fit, att = fits[block], gains[block][1]
         loss = fit.deviance - full.deviance
         share = closed_share(att, truth, naive)
         out.append((block, len(cols), loss, loss / explained, att, share,

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import flag, ratio
 from ..session import cut
+from .narrowing import narrowed_quantiles
 
 PART = "_range"
 
@@ -92,7 +93,7 @@ def many_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
         for c in columns])).alias("e")).select("e.*")
-    return quantiles(long, "value", probs, by=["column"])
+    return narrowed_quantiles(long, "value", probs, by=["column"])
 
 
 def quantile_bins(df: DataFrame, value: str, k: int, name: str = "bin",

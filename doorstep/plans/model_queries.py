@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions.scalar import flag
-from ..operators import evaluate, features, models, policy, ranks, traces, views
+from ..operators import evaluate, features, irls, models, policy, ranks, traces, views
 from ..session import cut
+from .base_queries import MODEL_VIEW_SQL
 from .registry import register
 
 
@@ -81,7 +82,11 @@ def design_redundancy(m):
     return m.spark.createDataFrame(rows, "feature string, status string, reason string")
 
 
-register("feature_medians")(lambda m: ranks.many_quantiles(
+_MEDIANS = ("pit_avg_order_value", "pit_days_since_last_order", "pit_cod_share", "order_value")
+register("feature_medians", " UNION ALL ".join(f"""
+SELECT '{c}' AS "column", count({c}) AS n, quantile_cont(cast({c} AS double), 0.25) AS q0,
+  quantile_cont(cast({c} AS double), 0.5) AS q1, quantile_cont(cast({c} AS double), 0.75) AS q2
+FROM ({MODEL_VIEW_SQL}) AS v HAVING count({c}) > 0""" for c in _MEDIANS))(lambda m: ranks.many_quantiles(
     cut(views.training_input(m)), ["pit_avg_order_value", "pit_days_since_last_order",
                               "pit_cod_share", "order_value"], [0.25, 0.5, 0.75]))
 register("feature_correlations")(lambda m: features.correlation_matrix(
@@ -185,9 +190,10 @@ def geography_ablation(m, volume: float = 0.17):
                                                if c in design.columns],
              "no point-in-time history": [c for c in design.columns if "pit_" in c]}
     rows = []
-    for name, gone in drops.items():
-        names = [c for c in design.columns if c not in gone]
-        fit = models.fit_logit(tr, flag("row.rto_flag"), names)
+    fits, _ = irls.fit_many(tr, flag("row.rto_flag"), {
+        name: [c for c in design.columns if c not in gone] for name, gone in drops.items()})
+    for name, fit in fits.items():
+        names = fit.names
         scored = fit.score(te).select("row.*", F.col("p").alias("score")).persist()
         audit = policy.geo_audit(scored, [volume]).first()
         rows.append((name, len(names), evaluate.auc(scored, "score", "rto_flag"), audit.METRO,
