@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doorstep.llm.common import shipped, staged, table
+from doorstep.llm.common import shipped, small_batches, staged, table
 from doorstep.llm.decontam import decontamination_stage
 from doorstep.llm.lines import line_dedup_stage
 from doorstep.llm.neardup import neardup_stage
@@ -26,6 +26,7 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def _shipping(stage):
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         shipped(spark)
+        small_batches(spark)
         return stage(spark, docs, sf_dir)
     return run
 
