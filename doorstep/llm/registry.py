@@ -20,5 +20,5 @@ QUERIES = {
     "op13_embedding_whitening": whitening.op13_embedding_whitening,
 }
 ORACLES = {"op1_line_dedup": lines.OP1_SQL, "op2_substring_dedup": substrings.OP2_SQL, "op3_chat_formatting": chat.OP3_SQL, "op7_exact_topk": topk.OP7_SQL,
-           "op11_ngram_jaccard": jaccard.op11_ngram_jaccard,
+           "op11_ngram_jaccard": jaccard.OP11_SQL,
     "op12_hard_negatives": hardneg.OP12_SQL}
