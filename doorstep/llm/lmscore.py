@@ -12,8 +12,9 @@ distinct words and its distinct byte strings of a context and what follows, gets
 or the log probability, and adds them up. The larger a batch, the fewer copies of a string travel.
 Strings travel as lists: those of a batch that share the last ``TOP`` bytes of context are one
 compressed row, meet the lists of other batches in the task of that context, and go back with a log
-probability each. A task folds lists as they come, so it holds the distinct strings of one
-context and not their copies. Nothing is broadcast but 65,536 nodes of the top, and what is
+probability each. Words travel the same way: those of a batch that share the first ``WORD_BITS``
+bits of their hash are one row, and go back with their counts. A task folds lists as they come, so
+it holds the distinct strings of one context and not their copies. Nothing is broadcast but 65,536 nodes of the top, and what is
 exchanged grows with the texts.
 
 Defined results: null texts count as empty; an empty text is one end token and one end byte. Rows
@@ -32,7 +33,6 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Words, by_size, staged, table, text_of
@@ -44,6 +44,9 @@ END = 10
 TOP = 2
 #: Bytes of a string that its context of TOP bytes leaves open.
 OPEN = DEPTH + 1 - TOP
+#: Bits of a word's hash that keep words together in a task, and bytes that hold the others.
+WORD_BITS = 10
+OPEN_WORD = -(-(64 - WORD_BITS) // 8)
 #: Strings of small contexts that a task works on at a time, and copies it holds before it folds them.
 STRINGS, COPIES = 200_000, 2_000_000
 
@@ -118,14 +121,14 @@ def floats(planed: pa.Scalar) -> np.ndarray:
     return numbers(planed, 4).astype("<i4").view("<f4")
 
 
-def lists(known: np.ndarray, counts: np.ndarray) -> pa.Array:
-    """Strings in order, cut where the context of TOP bytes changes: context ``b``, keys, counts."""
-    top = known >> (8 * OPEN)
+def lists(known: np.ndarray, counts: np.ndarray, shift: int = 8 * OPEN, width: int = OPEN) -> pa.Array:
+    """Strings (or words) in order, cut where what stands above ``shift`` bits changes: that as ``b``, keys, counts."""
+    top = known >> shift
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(top)) + 1, [len(known)]])
     spans = list(zip(cuts[:-1], cuts[1:])) if len(known) else []
     return pa.StructArray.from_arrays(
         [pa.array([int(top[i]) for i, _ in spans], pa.int32()),
-         pa.array([planes(known[i:j], OPEN) for i, j in spans], pa.binary()),
+         pa.array([planes(known[i:j], width) for i, j in spans], pa.binary()),
          pa.array([planes(counts[i:j], 4) for i, j in spans], pa.binary())], ["b", "k", "c"])
 
 
@@ -149,7 +152,7 @@ def batches(docs: DataFrame, size: int = BATCH, chunk: int = CHUNK) -> DataFrame
                 firsts.append(starts[1:] + end)
                 end += len(body)
             (named, word_counts), (known, counts) = [_folded(*zip(*held)) for held in found]
-            of_words = pa.StructArray.from_arrays([pa.array(named), pa.array(word_counts)], ["h", "c"])
+            of_words = lists(named, word_counts, 64 - WORD_BITS, OPEN_WORD)
             of_strings = lists(known, counts)
             held = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (of_words, of_strings)]
             ends = pa.array([0, batch.num_rows], pa.int32())
@@ -160,7 +163,7 @@ def batches(docs: DataFrame, size: int = BATCH, chunk: int = CHUNK) -> DataFrame
                  pa.array([zstandard.compress(b"".join(bodies), 3)], pa.binary()), *held],
                 ["batch", "ids", "held", "starts", "body", "words", "strings"])
     return docs.select("doc_id", "held_out", "_text").mapInArrow(run, f"""batch bigint, ids array<{kind}>,
-        held array<boolean>, starts binary, body binary, words array<struct<h:bigint,c:bigint>>,
+        held array<boolean>, starts binary, body binary, words array<struct<b:int,k:binary,c:binary>>,
         strings array<struct<b:int,k:binary,c:binary>>""")
 
 
@@ -233,29 +236,33 @@ def _rows(rows: Iterator[tuple], schema: pa.Schema, size: int = 4_000_000) -> It
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held), schema)], schema=schema)
 
 
-def string_counts(asked: DataFrame) -> DataFrame:
-    """(b, k, c): a row for each context of TOP bytes, its distinct strings and their counts in all batches."""
+def list_counts(asked: DataFrame, width: int) -> DataFrame:
+    """(b, k, c, n, v): a row for each ``b``, its distinct keys, their counts in all batches, the
+    sum of the counts and how many are not 0."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(b: int, keys: list, counts: list) -> tuple:
+            known, total = _folded(keys, counts)
+            return b, planes(known, width), planes(total, 8), int(total.sum()), int((total > 0).sum())
+
         def whole() -> Iterator[tuple]:
             now, keys, counts, size = None, [], [], 0
             for part in parts:
                 for b, k, c in zip(*[part.column(x) for x in "bkc"]):
                     if b.as_py() != now:
                         if keys:
-                            known, total = _folded(keys, counts)
-                            yield now, planes(known, OPEN), planes(total, 8)
+                            yield row(now, keys, counts)
                         now, keys, counts, size = b.as_py(), [], [], 0
-                    keys.append(numbers(k, OPEN))
+                    keys.append(numbers(k, width))
                     counts.append(numbers(c, 4))
                     size += len(keys[-1])
                     if size >= COPIES:
                         known, total = _folded(keys, counts)
                         keys, counts, size = [known], [total], 0
             if keys:
-                known, total = _folded(keys, counts)
-                yield now, planes(known, OPEN), planes(total, 8)
-        return _rows(whole(), pa.schema([("b", pa.int32()), ("k", pa.binary()), ("c", pa.binary())]))
-    return asked.select("b", "k", "c").repartition("b").sortWithinPartitions("b").mapInArrow(run, "b int, k binary, c binary")
+                yield row(now, keys, counts)
+        return _rows(whole(), pa.schema([("b", pa.int32()), ("k", pa.binary()), ("c", pa.binary()), ("n", pa.int64()), ("v", pa.int64())]))
+    return asked.select("b", "k", "c").repartition("b").sortWithinPartitions("b").mapInArrow(
+        run, "b int, k binary, c binary, n bigint, v bigint")
 
 
 def _gathered(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[int], np.ndarray, np.ndarray]]:
@@ -309,17 +316,18 @@ def string_scores(totals: DataFrame) -> DataFrame:
     return totals.mapInArrow(logs, "b int, k binary, s binary")
 
 
-def answers(asked: DataFrame, known: DataFrame) -> DataFrame:
-    """(batch, b, s): log probabilities of the strings of each list, in the order of the list."""
+def answers(asked: DataFrame, known: DataFrame, width: int = OPEN, value: int = 4) -> DataFrame:
+    """(batch, b, s): the values of ``value`` bytes that ``known`` (b, k, s) gives to the keys of
+    each list, in the order of the list."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def whole() -> Iterator[tuple]:
             have = None
             for part in parts:
                 for batch, b, k, s in zip(*[part.column(x) for x in ("batch", "b", "k", "s")]):
-                    if s.is_valid:  # a context's own row comes before those that ask
-                        have = numbers(k, OPEN), floats(s)
+                    if s.is_valid:  # a row of what is known comes before those that ask
+                        have = numbers(k, width), numbers(s, value)
                     else:
-                        yield batch.as_py(), b.as_py(), float_planes(have[1][np.searchsorted(have[0], numbers(k, OPEN))])
+                        yield batch.as_py(), b.as_py(), planes(have[1][np.searchsorted(have[0], numbers(k, width))], value)
         return _rows(whole(), pa.schema([("batch", pa.int64()), ("b", pa.int32()), ("s", pa.binary())]))
     both = known.select(F.lit(None).cast("long").alias("batch"), "b", "k", "s").union(
         asked.select("batch", "b", "k", F.lit(None).cast("binary")))
@@ -331,29 +339,20 @@ def scored(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes)."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), text_of(docs, text).alias("_text"))
     packed = staged(batches(rows, size, chunk), "batches")
-    words = packed.select("batch", F.posexplode("words").alias("i", "w")).select("batch", "i", "w.h", "w.c")
-    same = W.partitionBy("h")
-    counted = words.withColumns({"total": F.sum("c").over(same), "head": F.min("batch").over(same)})
-    by_batch = staged(counted.groupBy("batch").agg(
-        F.collect_list(F.struct("i", "total")).alias("word_counts"), F.sum("c").alias("n"),
-        F.sum(((F.col("head") == F.col("batch")) & (F.col("total") > 0)).cast("long")).alias("v")), "word-counts")
-    asked = packed.select("batch", F.inline("strings"))
-    totals = staged(string_counts(asked), "string-counts")
-    by_string = answers(asked, string_scores(totals)).groupBy("batch").agg(
-        F.array_sort(F.collect_list(F.struct("b", "s"))).alias("string_scores"))
-    whole = by_batch.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    words, asked = [packed.select("batch", F.inline(x)) for x in ("words", "strings")]
+    word_counts = staged(list_counts(words, OPEN_WORD), "word-counts")
+    totals = staged(list_counts(asked, OPEN), "string-counts")
+
+    def by_batch(found: DataFrame, name: str) -> DataFrame:
+        return found.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("b", "s"))).alias(name))
+    word_answers = by_batch(answers(words, word_counts.withColumnRenamed("c", "s"), OPEN_WORD, 8), "word_counts")
+    by_string = by_batch(answers(asked, string_scores(totals)), "string_scores")
+    whole = word_counts.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     ends = rows.where(~F.col("held_out")).count()
     n, v = (whole["n"] or 0) + ends, (whole["v"] or 0) + (1 if ends else 0)
     low = float(np.log10(n + v + 1))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
-    def spread(column: pa.Array, value: str, size: int, j: int, kind: type) -> np.ndarray:
-        out = np.zeros(size, kind)
-        pairs = column[j].values
-        if pairs is not None and len(pairs):
-            out[pairs.field("i").to_numpy()] = pairs.field(value).to_numpy()
-        return out
-
     def sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
         total = np.concatenate([[0.0], np.cumsum(x, dtype=np.float64)])
         return total[first[1:]] - total[first[:-1]]
@@ -383,7 +382,8 @@ def scored(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
                         held.append((known, code.astype(np.int32)))
                 names, word_codes = merged(by_word)
                 _, byte_codes = merged(by_byte)
-                counts = spread(batch.column("word_counts"), "total", len(names), j, np.float64)
+                lists_ = batch.column("word_counts")[j].values  # null where no text has a word
+                counts = np.concatenate([numbers(x, 8) for x in lists_.field("s")]) if len(names) else np.zeros(0)
                 logs = np.concatenate([floats(x) for x in batch.column("string_scores")[j].values.field("s")])
                 got = [(np.diff(first) + 1, sums(counts[words] > 0, first), sums(np.log10(counts[words] + 1), first), sums(logs[bytes_], here))
                        for first, here, words, bytes_ in zip(firsts, inside, word_codes, byte_codes)]
@@ -394,7 +394,7 @@ def scored(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
                      pa.array(base + np.log10(ends + 1) - tokens * low), pa.array(score), pa.array(np.diff(starts))],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"])
     texts = packed.select("batch", "ids", "held", "starts", "body").join(
-        by_batch.select("batch", "word_counts"), "batch", "left").join(by_string, "batch").drop("batch")
+        word_answers, "batch", "left").join(by_string, "batch").drop("batch")
     return texts.mapInArrow(run, f"""doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint,
         train_tokens bigint, base_score double, score double, n_bytes bigint""")
 

@@ -274,7 +274,7 @@ def test_probabilities_of_listed_strings_sum_to_one(spark):
     known = int.from_bytes(bytes(range(1, lmscore.DEPTH + 1)), "big") << 8
     listed = lmscore.lists(np.arange(known, known + 256), np.array([3 if s in (65, 66) else 0 for s in range(256)]))
     strings = spark.createDataFrame([(r["b"], r["k"], r["c"]) for r in listed.to_pylist()], "b int, k binary, c binary")
-    (r,) = rows(lmscore.string_scores(lmscore.string_counts(strings)))
+    (r,) = rows(lmscore.string_scores(lmscore.list_counts(strings, lmscore.OPEN)))
     logs = lmscore.floats(pa.scalar(bytes(r["s"]), pa.binary()))
     assert len(logs) == 256 and abs((10 ** logs.astype(float)).sum() - 1) < 1e-5
 
