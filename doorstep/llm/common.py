@@ -63,6 +63,18 @@ def row_key(*columns: Column | str) -> list[Column]:
     return [F.xxhash64(*columns).alias("_k1"), F.xxhash64(F.lit(1), *columns).alias("_k2")]
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Each name with as many underscores behind it as keep it apart from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, class) for every end of the edges (a, b): class is the least id that it reaches.
 
