@@ -75,6 +75,16 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def set_aside(df: DataFrame, *internal: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with columns of these names, in any case, under names of their own, and what gives them back."""
+    inside = {c.lower() for c in internal}
+    old = [c for c in df.columns if c.lower() in inside]
+    if not old:
+        return df, lambda out: out
+    new = fresh(df, *(f"kept_{c}" for c in old))
+    return df.withColumnsRenamed(dict(zip(old, new))), lambda out: out.withColumnsRenamed(dict(zip(new, old)))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, class) for every end of the edges (a, b): class is the least id that it reaches.
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ranks import prefix_sums
 from ..session import cut
-from .common import row_key, staged, table
+from .common import row_key, set_aside, staged, table
 
 MIN_LINES = 2
 MIN_WORDS = 50
@@ -111,7 +111,7 @@ def later_copies(rows: DataFrame, min_lines: int, min_words: int | None = None)
 def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES, doc_id: str = "doc_id", text: str = "text",
                  min_words: int | None = None) -> DataFrame:
     """``docs`` with later copies of repeated runs deleted from the text, and what was deleted."""
-    source = docs.drop("n_lines", "n_removed", "shared_lines")
+    source, given_back = set_aside(docs.drop("n_lines", "n_removed", "shared_lines"), "gone", "_lines", *KEY)
     body = F.col(text).cast("string")
     keyed = source.select(*row_key(F.col(doc_id), body), F.col(doc_id).alias("_id"), body.alias("_text"))
     marks = later_copies(staged(line_rows(keyed), "lines"), min_lines, min_words)
@@ -123,11 +123,11 @@ def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES, doc_id: str = "doc
         joined = split.join(marks, KEY, "left")
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("gone"))
     cleaned = F.array_join(F.transform(stay, lambda i: F.get(F.col("_lines"), i)), "\n")
-    return joined.withColumns({
+    return given_back(joined.withColumns({
         text: F.when(F.col("gone").isNull(), body).otherwise(cleaned),
         "n_lines": F.coalesce(F.size("_lines"), F.lit(0)).cast("long"),
         "n_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("long"),
-        "shared_lines": F.coalesce("shared_lines", F.lit(0).cast("long"))}).drop("_lines", "gone", *KEY)
+        "shared_lines": F.coalesce("shared_lines", F.lit(0).cast("long"))}).drop("_lines", "gone", *KEY))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

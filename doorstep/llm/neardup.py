@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Words, blob_sum, by_size, components, mixed, staged, table, windows
+from .common import Words, blob_sum, by_size, components, mixed, set_aside, staged, table, windows
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 10, 3
@@ -256,6 +256,7 @@ def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """One document of each class: the one of least id, of these the one of least text hash."""
     found = classes(docs)
     kept = found.groupBy("_class").agg(F.min(F.struct("doc_id", "_t1", "_t2")).alias("k")).select("k.*")
+    docs, given_back = set_aside(docs, "_text", "_t1", "_t2")
     rows = keyed(docs)
     same = (rows["_t1"] == kept["_t1"]) & (rows["_t2"] == kept["_t2"]) & rows["doc_id"].eqNullSafe(kept["doc_id"])
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_t1", "_t2"]).select(docs.columns)
+    return given_back(rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_t1", "_t2"]).select(docs.columns))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_size, table, text_of
+from .common import by_size, set_aside, table, text_of
 
 BLANK = "▁"
 #: Chunks and pairs of pieces kept for reuse within a task, and the longest chunk that is kept.
@@ -183,7 +183,8 @@ def encoded(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     """The rows of ``docs`` with ``ids`` (unsigned 32-bit little-endian), ``n_tokens`` and
     ``decoded``; columns of these names are replaced."""
     new = ("ids", "n_tokens", "decoded")
-    source = docs.drop(*(c for c in new if c != text)).withColumn("_text", text_of(docs, text))
+    docs, given_back = set_aside(docs.drop(*(c for c in new if c != text)), "_text")
+    source = docs.withColumn("_text", text_of(docs, text))
     kept = [c for c in source.columns if c != "_text" and c not in new]
     schema = ", ".join([*(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in kept),
                         "ids binary, n_tokens bigint, decoded string"])
@@ -199,7 +200,7 @@ def encoded(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
                      pa.array([code.decode(x) for x in ids], pa.string())], [*kept, *new])
         finally:
             code.forget()
-    return source.mapInArrow(run, schema)
+    return given_back(source.mapInArrow(run, schema))
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, blob_sum, by_size, staged, table, text_of, windows
+from .common import Words, blob_sum, by_size, set_aside, staged, table, text_of, windows
 
 #: Random features, kernel width in deviations, ridge weight, bins of the calibration, seed.
 FEATURES, WIDTH, RIDGE, BINS, SEED = 256, 4.0, 1e-3, 1000, 7
@@ -168,7 +168,8 @@ def fitted(stats: DataFrame, taught: DataFrame) -> Model:
 
 def scored(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the text, with held_out, score and predicted; ``labels``: doc_id, quality."""
-    stats = staged(document_statistics(docs.drop("held_out", "score", "predicted"), text), "statistics")
+    source, given_back = set_aside(docs.drop("held_out", "score", "predicted"), "y", "_l", "_x", "_text")
+    stats = staged(document_statistics(source, text), "statistics")
     code = F.crc32(F.col(doc_id).cast("string").cast("binary"))
     truth = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(
         F.avg(F.col("quality").cast("double")).alias("y")).select(F.col("doc_id").alias("_l"), "y")
@@ -182,8 +183,8 @@ def scored(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(
                 model.scores(_matrix(batch.column("_x"))))], [*kept, "score"])
-    return stats.mapInArrow(run, schema).withColumns({
-        "held_out": F.coalesce(code % 3 == 1, F.lit(False)), "predicted": (F.col("score") >= 0.5).cast("int")})
+    return given_back(stats.mapInArrow(run, schema).withColumns({
+        "held_out": F.coalesce(code % 3 == 1, F.lit(False)), "predicted": (F.col("score") >= 0.5).cast("int")}))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,7 +194,8 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
+    docs, given_back = set_aside(docs, "_k1", "_k2")
     rows = docs.withColumns({"_k1": F.xxhash64("doc_id", "text"), "_k2": F.xxhash64(F.lit(1), "doc_id", "text")})
     judged = scored(rows.select("doc_id", "text", "_k1", "_k2"), table(spark, sf_dir, "labels"))
     bad = judged.where("predicted = 0").select("_k1", "_k2").distinct()
-    return rows.join(bad, ["_k1", "_k2"], "left_anti").select(docs.columns)
+    return given_back(rows.join(bad, ["_k1", "_k2"], "left_anti").select(docs.columns))
