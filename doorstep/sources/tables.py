@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -118,22 +119,68 @@ def partial_columns(df: DataFrame, table: str) -> DataFrame:
 
 # ---- writing -------------------------------------------------------------------------------
 def write_table(df: DataFrame, folder: str, table: str,
-                partition_by: Iterable[str] = ()) -> None:
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{folder}/{table}")
+                partition_by: Iterable[str] = ()) -> int:
+    """Replace one table and return its row count; a short landing leaves the old one in place."""
+    path, sent = land(df, folder, table, partition_by)
+    replace(df.sparkSession, {table: path}, folder)
+    return sent
+
+
+def land(df: DataFrame, folder: str, table: str,
+         partition_by: Iterable[str] = ()) -> tuple[str, int]:
+    """Write ``df`` beside its table and return the path and the rows sent.
+
+    The rows are counted where they pass into the write, so the plan runs once; what landed
+    is counted from the files. A difference deletes them and raises :class:`ContractError`.
+    """
+    path = f"{folder}/incoming-{table}-{uuid.uuid4().hex}"
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("sent")).write.partitionBy(*partition_by).parquet(path)
+    sent, landed = seen.get["sent"], rows_in(df.sparkSession, path, df.schema)
+    if sent != landed:
+        remove(df.sparkSession, path)
+        raise ContractError(f"{table}: {sent} rows sent, {landed} landed; the old table stays")
+    return path, sent
+
+
+def rows_in(spark: SparkSession, path: str, schema: StructType) -> int:
+    return spark.read.schema(schema).parquet(path).count()
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    """Delete ``path`` where the session's file systems have it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def replace(spark: SparkSession, landed: Mapping[str, str], folder: str) -> None:
+    """Put each landed folder in the place of its table."""
+    for table, path in landed.items():
+        source, target = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (path, f"{folder}/{table}"))
+        remove(spark, f"{folder}/{table}")
+        if not source.getFileSystem(spark._jsc.hadoopConfiguration()).rename(source, target):
+            raise ContractError(f"{table}: {path} was checked but could not be moved")
 
 
 def write_all(tables: Mapping[str, DataFrame], folder: str) -> DataFrame:
-    """Overwrite every table in reference order, then compare sent with landed row counts."""
+    """Overwrite every table in reference order, then compare sent with landed row counts.
+
+    All tables land and are counted before the first is replaced."""
     spark = next(iter(tables.values())).sparkSession
     names = [t for t in load_order() if t in tables] + [t for t in tables
                                                         if t not in schemas.COLUMNS]
-    sent = None
-    for name in names:
-        write_table(tables[name], folder, name)
-        row = tables[name].agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("sent"))
-        sent = row if sent is None else sent.unionByName(row)
+    landed, sent = {}, []
+    try:
+        for name in names:
+            landed[name], rows = land(tables[name], folder, name)
+            sent.append((name, rows))
+    except Exception:
+        for path in landed.values():
+            remove(spark, path)
+        raise
+    replace(spark, landed, folder)
     drop_stale(spark, folder, names)
-    return landed_counts(spark, folder, sent)
+    return landed_counts(spark, folder, spark.createDataFrame(sent, "`table` string, sent bigint"))
 
 
 def landed_counts(spark: SparkSession, folder: str, sent: DataFrame) -> DataFrame:
