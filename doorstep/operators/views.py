@@ -138,6 +138,21 @@ def first_attempt_delay(t: Tables) -> DataFrame:
             .groupBy("order_id").agg(F.max("attempt_delay_days").alias("attempt_delay_days")))
 
 
+def first_delayed_attempt(orders: DataFrame, attempts: DataFrame) -> DataFrame:
+    """(order_id, attempt_number, attempt_delay_days): the first attempt with a delay of each order.
+
+    A lateral join asks each order for one row of its own attempts; equal numbers go to the
+    longest delay, an order without such an attempt keeps nulls. Spark turns it into a window
+    over the attempts of an order and an equi-join.
+    """
+    own = attempts.where((F.col("order_id") == F.col("o.order_id").outer())
+                         & F.col("attempt_delay_days").isNotNull())
+    first = own.orderBy("attempt_number", F.desc("attempt_delay_days")).limit(1)
+    return orders.select("order_id").alias("o").lateralJoin(
+        first.select("attempt_number", "attempt_delay_days").alias("a"), how="left").select(
+        "o.order_id", "a.attempt_number", "a.attempt_delay_days")
+
+
 # ---- firewall ------------------------------------------------------------------------------
 def assert_firewall(columns: Iterable[str], allowed: Iterable[str] = P.SAFE_COLUMNS,
                     blocked: Iterable[str] = P.BLOCKED_COLUMNS) -> None:

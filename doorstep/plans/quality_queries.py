@@ -64,6 +64,13 @@ SELECT arm, count(*) AS orders, count(*) FILTER (WHERE k > 0) AS populated,
   count(*) FILTER (WHERE k > 0) = count(*) AND count(*) FILTER (WHERE f = 1) = count(*)
     AND count(*) FILTER (WHERE f > 1) = 0 AS ok FROM j GROUP BY arm""")(
     lambda m: Q.attempt_delay_check(m["fct_order"], m["fct_delivery_event"]))
+register("first_delayed_attempt", """
+WITH a AS (SELECT order_id, attempt_number, attempt_delay_days, row_number() OVER (PARTITION BY order_id
+  ORDER BY attempt_number, attempt_delay_days DESC) AS place FROM fct_delivery_event
+  WHERE attempt_delay_days IS NOT NULL)
+SELECT o.order_id, attempt_number, attempt_delay_days FROM fct_order o
+LEFT JOIN a ON a.order_id = o.order_id AND place = 1""")(
+    lambda m: views.first_delayed_attempt(m["fct_order"], m["fct_delivery_event"]))
 register("cod_share_odds", """
 WITH c AS (SELECT count(*) FILTER (WHERE hi AND cod) AS a1, count(*) FILTER (WHERE hi AND NOT cod)
   AS a0, count(*) FILTER (WHERE lo AND cod) AS b1, count(*) FILTER (WHERE lo AND NOT cod) AS b0
