@@ -16,7 +16,8 @@ if either shares its ``percent`` of tokens with others, and that is used twice.
   overlap with a group's union bounds its overlap with every member. Of a pair the smaller set is the
   query. Sets of which fewer than ``percent`` tokens lie in unions of other groups are done. For the
   others, the rarest tokens, so many that a linked set must hold one of them among its own rarest,
-  name the candidate groups, and the full overlap with these is counted.
+  name the candidate groups. What the unions of a query's own group and a candidate share bounds the
+  overlap of all queries of that group at once; for what remains, each query's full overlap is counted.
   Groups of two or more come first, with their central sets only: what joins them is in their group
   when the others are looked at.
 * Opening. A group opens to a query if the bound allows a link: first its central set, then, where
@@ -303,12 +304,27 @@ def to_large_groups(entries: DataFrame, groups: DataFrame, percent: int) -> Data
 def candidate_groups(entries: DataFrame, asking: DataFrame, asked: DataFrame, percent: int) -> DataFrame:
     """(node, n, g, h, overlap): groups h whose union holds enough of a query's tokens for a link."""
     by_size = asked.select("t", "b", F.col("g").alias("h")).distinct()
-    pairs = staged(asking.join(by_size, ["t", "b"]).where("h <> g").select("node", "n", "g", "h").distinct(), "query-groups")
-    matrix = entries.select("t", F.col("g").alias("h")).distinct()
-    return entries.select("node", "t").join(pairs, "node").join(matrix, ["t", "h"]).groupBy("node", "n", "g", "h").agg(
+    matrix = staged(entries.select("t", "g").distinct(), "matrix")
+    met = staged(asking.join(by_size, ["t", "b"]).where("h <> g").select("node", "n", "g", "h").distinct(), "query-groups")
+    pairs = staged(met.join(of_unions(matrix, met), ["g", "h"]).where(F.col("common") >= least_overlap(percent)).drop("common"), "query-groups-bounded")
+    return entries.select("node", "t").join(pairs, "node").join(matrix.withColumnRenamed("g", "h"), ["t", "h"]).groupBy("node", "n", "g", "h").agg(
         F.count("*").alias("overlap")).where(F.col("overlap") >= least_overlap(percent))
 
 
+def of_unions(matrix: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(g, h, common): tokens that the unions of two groups share, counted once for all queries of g.
+
+    The smaller union is looked up in the larger one."""
+    size = matrix.groupBy("g").agg(F.count("*").alias("size"))
+    both = pairs.select("g", "h").distinct().join(size.withColumnRenamed("size", "sg"), "g").join(
+        size.withColumnsRenamed({"g": "h", "size": "sh"}), "h")
+    turned = F.col("sh") < F.col("sg")
+    asked = both.select("g", "h", F.when(turned, F.col("h")).otherwise(F.col("g")).alias("small"),
+                        F.when(turned, F.col("g")).otherwise(F.col("h")).alias("large"))
+    return asked.join(matrix.withColumnRenamed("g", "small"), "small").join(
+        matrix.withColumnRenamed("g", "large"), ["large", "t"]).groupBy("g", "h").agg(F.count("*").alias("common"))
+
+
 def regrouped(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, g, share) by the links so far."""
     return nodes.select("node", "share").join(components(links), F.col("node") == F.col("id"), "left").select(
