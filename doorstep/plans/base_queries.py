@@ -355,9 +355,7 @@ register("conform_report_fct_order")(
 register("partial_trace_columns")(
     lambda m: src.partial_columns(m["truth_order_probability"], "truth_order_probability"))
 register("order_fingerprint")(lambda m: fingerprint(m["fct_order"]))
-register("manifest")(lambda m: manifest({t: m[t] for t in (
-    "dim_geography", "dim_seller", "dim_product", "fct_checkout_session", "fct_order",
-    "fct_order_economics")}))
+register("manifest")(lambda m: manifest(dict(m)))
 register("json_value_stats", """
 SELECT event_type, count(*) AS events, cast(sum(cast(json_extract_string(props, '$.k') AS int))
        AS bigint) AS total_k FROM events GROUP BY event_type""")(

@@ -65,5 +65,5 @@ def portable(df: DataFrame) -> DataFrame:
 def load_all() -> dict[str, Query]:
     """Import every query module once and return the registry."""
     from . import base_queries, causal_queries, model_queries, policy_queries  # noqa: F401
-    from . import quality_queries, stream_queries  # noqa: F401
+    from . import quality_queries, raw_queries, stream_queries  # noqa: F401
     return REGISTRY

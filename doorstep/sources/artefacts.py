@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def row_hash(df: DataFrame) -> Column:
+    """Hash of a row's values in the order of the column names."""
+    return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in sorted(df.columns)])
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
     """Order-independent content hash: row count, xor and sum of row hashes, schema hash."""
-    row = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\\N"))
-                       for c in sorted(df.columns)])
     names = ",".join(f"{n}:{t}" for n, t in sorted(df.dtypes))
-    one = df.select(row.alias("h")).agg(
+    one = df.select(row_hash(df).alias("h")).agg(
         F.count("h").alias("rows"), F.coalesce(F.bit_xor("h"), F.lit(0)).alias("x"),
         F.coalesce(F.sum(F.col("h").cast("decimal(38,0)")), F.lit(0)).alias("s"))
     digest = F.sha2(F.concat_ws("|", F.col("rows").cast("string"), F.col("x").cast("string"),
