@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import params as P
+from ..functions import shared_sql
 from ..operators import payloads, raw_funnel, sketches
 from ..sources import merkle
 from ..sources.artefacts import compare_manifests, manifest
+from .oracle import half_even
 from .registry import register
 
 # ---- sketches --------------------------------------------------------------------------------
@@ -107,3 +110,25 @@ UNION ALL SELECT 'dim_seller', 'IDENTICAL'""")
 def manifest_changes(m):
     old, new = versions(m)
     return compare_manifests(*(manifest({"fct_order": v, "dim_seller": m["dim_seller"]}) for v in (old, new)))
+
+
+# ---- shared SQL functions ------------------------------------------------------------------------
+_COUNTS = """
+SELECT seller_id, cast(sum(CASE WHEN rto_flag THEN 1 ELSE 0 END) AS bigint) AS returned, count(rto_flag) AS resolved
+FROM {source} GROUP BY seller_id"""
+
+
+@register("seller_rates_by_sql", f"""
+SELECT seller_id, returned, resolved, {half_even('returned', 'resolved', 4)} AS observed,
+  (returned + {P.SHRINKAGE_K * P.RTO_PRIOR}) / (resolved + {P.SHRINKAGE_K}) AS shrunk,
+  CASE WHEN (returned + {P.SHRINKAGE_K * P.RTO_PRIOR}) / (resolved + {P.SHRINKAGE_K}) >= {P.HIGH_RTO_SHRUNK} THEN 'HIGH'
+       WHEN (returned + {P.SHRINKAGE_K * P.RTO_PRIOR}) / (resolved + {P.SHRINKAGE_K}) >= {P.MED_RTO_SHRUNK}
+         OR resolved = 0 THEN 'MED' ELSE 'LOW' END AS tier
+FROM ({_COUNTS.format(source='fct_order')})""")
+def seller_rates_by_sql(m):
+    shared_sql.install(m.spark)
+    return m.spark.sql(f"""
+        SELECT seller_id, returned, resolved, raw_rate(returned, resolved) AS observed,
+               shrunk_rate(returned, resolved) AS shrunk,
+               rule_tier_m1(shrunk_rate(returned, resolved), resolved = 0) AS tier
+        FROM ({_COUNTS})""", source=m["fct_order"])
