@@ -38,10 +38,15 @@ def merged(sketches: DataFrame, period: Column | str = "day") -> DataFrame:
 
 
 def estimates(sketches: DataFrame, probabilities: Sequence[float] = QUANTILES) -> DataFrame:
-    """(period, rows, n_ids, n_values, estimates): ``estimates`` has a value for each probability."""
+    """(period, rows, n_ids, n_values, estimates): ``estimates`` has a value for each probability.
+
+    A sketch that never was merged estimates from the order of its rows as well, a merged one from its
+    registers alone. Merged with itself, each is read the second way, so ids count the same however rows
+    were dealt.
+    """
     n = F.kll_sketch_get_n_double("quantiles")
     return sketches.select(
-        "period", "rows", F.hll_sketch_estimate("ids").alias("n_ids"), n.alias("n_values"),
+        "period", "rows", F.hll_sketch_estimate(F.hll_union("ids", "ids")).alias("n_ids"), n.alias("n_values"),
         F.when(n > 0, F.array(*[F.kll_sketch_get_quantile_double("quantiles", F.lit(float(p)))
                                 for p in probabilities])).alias("estimates"))
 

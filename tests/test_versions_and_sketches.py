@@ -69,3 +69,12 @@ def test_merging_in_steps_and_a_wrong_estimate(spark):
     r = sketches.report(none, "day", "month", "who", "v").first()
     assert (r["period"], r["rows"], r.exact_ids, r.ids_within, r.ranks_within) == (None, 40000, 0, True, True)
     assert sketches.report(df.limit(0), "day", "month", "who", "v").count() == 0
+
+
+def test_a_week_of_one_partition_equals_its_days(spark):
+    """One task sees the whole week, so the direct sketch is never merged; the days' sketches are."""
+    rows = spark.range(0, 60_000, 1, 1).select(
+        F.expr("date_add(date'2024-01-01', cast(id * 4 div 60000 as int))").alias("day"),
+        (F.col("id") % 30_000).alias("user"), F.col("id").cast("double").alias("v"))
+    row = sketches.report(rows, "day", "week", "user", "v").first()
+    assert row.exact_ids == 30_000 and row.ids_within and row.ranks_within and row.merge_is_whole
