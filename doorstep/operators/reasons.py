@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions.scalar import flag, lookup, softmax
+from ..session import keep
 from .traces import with_z
 from .views import first_attempt_delay
 
@@ -26,6 +27,9 @@ def reason_codes(orders: DataFrame) -> DataFrame:
 
 def reason_drivers(t: Mapping[str, DataFrame]) -> DataFrame:
     """One row per order with every driver the weight matrix names."""
+    st = t["fct_customer_state_at_session"].select(
+        "session_id", F.col("pit_is_new_customer").cast("double").alias("pit_is_new_customer"),
+        "pit_orders_delivered")
     o = t["fct_order"].select("order_id", "session_id", "customer_id", "delivery_geography_id",
                               "order_date", "payment_method", "order_value", "discount_pct",
                               "estimated_delivery_days", "rto_flag")
@@ -36,16 +40,14 @@ def reason_drivers(t: Mapping[str, DataFrame]) -> DataFrame:
         "session_id", F.col("address_completeness_score").cast("double")
         .alias("address_completeness"), (F.col("cart_size") >= 3).cast("double")
         .alias("cart_size_ge3"))
-    st = t["fct_customer_state_at_session"].select(
-        "session_id", F.col("pit_is_new_customer").cast("double").alias("pit_is_new_customer"),
-        "pit_orders_delivered")
     g = t["dim_geography"].select(
         F.col("geography_id").alias("delivery_geography_id"), "serviceability_score",
         "courier_reliability_score", (F.col("geo_tier") == "TIER3").cast("double")
         .alias("geo_tier_tier3"))
     j = (o.join(lat, "customer_id").join(s, "session_id").join(st, "session_id")
          .join(g, "delivery_geography_id").join(first_attempt_delay(t), "order_id", "left"))
-    j = with_z(j, {"serviceability_z": "serviceability_score",
+    # read by the scalings and by the drivers
+    j = with_z(keep(j), {"serviceability_z": "serviceability_score",
                    "courier_reliability_z": "courier_reliability_score",
                    "attempt_delay_days_z": "attempt_delay_days"})
     c = P.CENTERING

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from .. import params as P
 from ..functions.scalar import flag
 from ..operators import evaluate, features, irls, models, policy, ranks, traces, views
-from ..session import cut
+from ..session import cut, keep
 from .base_queries import MODEL_VIEW_SQL
 from .registry import register
 
 
 def split_of(m):
-    view = cut(views.training_input(m))
+    view = keep(views.training_input(m))
     clean, horizon = models.clean_window(view, m["fct_order"])
     return models.time_split(clean, horizon=horizon)
 
@@ -87,7 +87,7 @@ register("feature_medians", " UNION ALL ".join(f"""
 SELECT '{c}' AS "column", count({c}) AS n, quantile_cont(cast({c} AS double), 0.25) AS q0,
   quantile_cont(cast({c} AS double), 0.5) AS q1, quantile_cont(cast({c} AS double), 0.75) AS q2
 FROM ({MODEL_VIEW_SQL}) AS v HAVING count({c}) > 0""" for c in _MEDIANS))(lambda m: ranks.many_quantiles(
-    cut(views.training_input(m)), ["pit_avg_order_value", "pit_days_since_last_order",
+    keep(views.training_input(m)), ["pit_avg_order_value", "pit_days_since_last_order",
                               "pit_cod_share", "order_value"], [0.25, 0.5, 0.75]))
 register("feature_correlations")(lambda m: features.correlation_matrix(
     views.training_input(m).select(*[F.col(c).cast("double").alias(c) for c in (
@@ -223,7 +223,7 @@ def trace_reconstruction(m):
 
 
 register("audit_sample_summary")(lambda m: traces.audit_summary(
-    traces.audit_sample(cut(traces.scored_sessions(m)))))
+    traces.audit_sample(keep(traces.scored_sessions(m)))))
 register("planted_effect")(lambda m: traces.planted_effect(traces.scored_sessions(m)))
 register("average_marginal_effect")(lambda m: traces.average_marginal_effect(
     traces.scored_sessions(m).where(F.col("p_rto_final").isNotNull()).select(
