@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding: merge-type pieces found by backtracking.
 
-Aho-Corasick gives the longest piece at each place; from it the encoder walks to shorter
-prefixes. A piece may follow another only if merging the text of both gives the two back; a
-bitfield remembers places from which no tiling of the rest was found. Where every neighbour is
-compatible the tiling is the one that merging by score produces.
+Short chunks of known characters are merged by score, pair after pair. For others Aho-Corasick
+gives the longest piece at each place; from it the encoder walks to shorter prefixes. A piece may
+follow another only if merging the text of both gives the two back; a bitfield remembers places
+from which no tiling of the rest was found. Where every neighbour is compatible the tiling is the
+one that merging by score produces.
 
 Null texts count as empty; an empty text has the begin and end ids only. Texts of any length
 are encoded whole, chunk by chunk: no piece reaches over a change from other characters to the
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import by_size, set_aside, table, text_of
 
 BLANK = "▁"
-#: Chunks and pairs of pieces kept for reuse within a task, and the longest chunk that is kept.
-KEPT, PAIRS, KEPT_LENGTH = 100_000, 200_000, 24
+#: Chunks and pairs of pieces kept for reuse within a task, and the longest chunk that is kept or merged directly.
+KEPT, PAIRS, KEPT_LENGTH = 200_000, 200_000, 24
 
 
 class Pieces:
@@ -51,6 +52,7 @@ class Pieces:
             raise ValueError("a piece holds a character that is no piece itself")
         if any(BLANK in p.lstrip(BLANK) or "\n" in p for p in self.id):
             raise ValueError("a piece reaches over the start of a word")
+        self.letters = {p for p in self.id if len(p) == 1}
         # pieces that merging never makes from their own text are no candidates
         made = {p: i for p, i in self.id.items() if self.merged(p) == [i]}
         self.shorter = [next((made[p[:n]] for n in range(len(p) - 1, 0, -1) if p[:n] in made), -1)
@@ -66,14 +68,22 @@ class Pieces:
 
     def merged(self, text: str) -> list[int]:
         """Plain merging of a short text, best score first, leftmost among equals."""
+        score, none = self.score, float("-inf")
         parts = list(text)
-        while True:
-            best = max(((self.score[p], -i) for i in range(len(parts) - 1)
-                        if (p := parts[i] + parts[i + 1]) in self.score), default=None)
-            if best is None:
-                return [self.id[p] for p in parts]
-            i = -best[1]
+        pairs = [score.get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while pairs:
+            best = max(pairs)
+            if best == none:
+                break
+            i = pairs.index(best)
             parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            # only the pairs with the new part have changed
+            if i:
+                pairs[i - 1] = score.get(parts[i - 1] + parts[i], none)
+            if i < len(pairs):
+                pairs[i] = score.get(parts[i] + parts[i + 1], none)
+        return [self.id[p] for p in parts]
 
     def compatible(self, left: int, right: int) -> bool:
         if len(self.fits) >= PAIRS:
@@ -83,6 +93,8 @@ class Pieces:
 
     def chunk(self, text: str) -> list[int]:
         """Ids of a text without the marks at its ends."""
+        if len(text) <= KEPT_LENGTH and self.letters.issuperset(text):
+            return self.merged(text)  # quicker than the automaton, and the definition itself
         longest, length = [-1] * len(text), self.length
         for last, i in self.find.iter(text):
             longest[last - length[i] + 1] = i  # a later end is a longer piece
