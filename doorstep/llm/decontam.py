@@ -15,8 +15,9 @@ Candidates come from each item's windows that the fewest documents hold, as many
 0.8 of them can miss; only candidates meet the item's other windows. Diagonals are taken from the longest
 on, each if its slots agree with those taken before.
 
-All steps are DataFrame operations. A bitmap of fixed size, set from the benchmark's windows,
-drops most windows of documents before they become rows; the join decides on the rest.
+All steps are DataFrame operations. Bitmaps of fixed size, set from the benchmark's windows
+and from the first and last words of these, drop most windows of documents before they become rows; the join
+decides on the rest.
 
 Defined results: null texts and items have no words; items and documents without words are in no
 result, nor do empty tables give rows. Rows equal in id and text are one document. Repeated
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, row_key, staged, table
-from .shingles import bitmap, columns_of, hits, window_hashes, words_of
+from .shingles import bitmap, columns_of, edge_hits, edges, window_edges, window_hashes, words_of
 
 WIDTH, CONTAINED = 5, 0.8
 #: Forms of a window: of the template, and (by their width) of plain words.
@@ -53,9 +54,9 @@ def template(text: Column) -> Column:
 
 def canonical(rows: DataFrame) -> DataFrame:
     """``rows`` (_text) with the words ``_w`` of the template and ``_o`` of the text, one for one."""
-    split = columns_of(rows, _w=words_of(template(F.col("_text"))),
-                       _o=words_of(F.lower(F.regexp_replace("_text", PUNCTUATION, ""))))
-    return split
+    # columns first: words_of reads its text twice, and would make it twice
+    plain = columns_of(rows, _wt=template(F.col("_text")), _ot=F.lower(F.regexp_replace("_text", PUNCTUATION, "")))
+    return columns_of(plain, _w=words_of(F.col("_wt")), _o=words_of(F.col("_ot"))).drop("_wt", "_ot")
 
 
 def hashed(rows: DataFrame, widths: list[int]) -> DataFrame:
@@ -112,11 +113,16 @@ def contaminated(docs: DataFrame, items: DataFrame, contained: float = CONTAINED
     """(doc_id, item_id, contained, changed, _k1, _k2); ``items``: item_id, text."""
     asked = staged(item_windows(items), "items")
     widths = sorted(r["form"] for r in asked.where(F.col("form").between(1, WIDTH - 1)).select("form").distinct().collect())
-    bits = bitmap(asked)
+    bits, known = bitmap(asked), bitmap(asked.select(edges(F.get("t", F.lit(0)), F.element_at("t", -1)).alias("h")))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
-    keyed = hashed(canonical(rows.select("doc_id", *row_key("doc_id", "_text"), "_text")), widths)
-    found = staged(keyed.select("doc_id", "_k1", "_k2", F.explode(F.concat(*[
-        _windows(f, hits(f"_h{f}", bits)) for f in (TEMPLATE, *widths, WIDTH)])).alias("x")).select(
+    forms = {f: ("_w" if f == TEMPLATE else "_o", f or WIDTH) for f in (TEMPLATE, *widths, WIDTH)}
+    keyed = columns_of(canonical(rows.select("doc_id", *row_key("doc_id", "_text"), "_text")),
+                       **{f"_e{f}": window_edges(*made) for f, made in forms.items()})
+
+    def held(form: int) -> Column:
+        met = edge_hits(*forms[form], f"_e{form}", known, bits)
+        return _windows(form, met if form != 1 else F.filter(met, lambda x: F.size("_o") == 1))
+    found = staged(keyed.select("doc_id", "_k1", "_k2", F.explode(F.concat(*map(held, forms))).alias("x")).select(
         "doc_id", "_k1", "_k2", "x.form", F.col("x.i").alias("i"), "x.h", F.col("x.o").alias("d")).join(
         asked.select("form", "h").distinct(), ["form", "h"], "left_semi"), "windows")
     # a slot is a word that the template changes

@@ -7,7 +7,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from doorstep.llm import decontam
+from doorstep.llm import decontam, shingles
 
 UNITS = "|".join(decontam.UNITS)
 
@@ -108,3 +108,18 @@ def test_rows_of_numbers_are_no_copies(spark):
     got = decontam.contaminated(docs.union(copy), items).collect()
     assert [(r.doc_id, r.item_id) for r in got] == [(100, 7)] and time.time() - start < 60
     assert math.isclose(got[0].contained, 1.0)
+
+
+def test_texts_are_made_once_and_windows_hashed_where_their_ends_are_known(spark):
+    """The split reads a column, and the bitmap of ends drops no window that the benchmark holds."""
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "a x y z e q"), (3, "")], "doc_id long, text string")
+    made = decontam.canonical(docs.withColumnRenamed("text", "_text"))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(decontam.PUNCTUATION) == 2  # once for each form; before, each text was made twice
+    asked = spark.createDataFrame([("a b c d e".split(),)], "w array<string>").withColumn("_w", F.col("w"))
+    hashes = asked.select(F.explode(shingles.window_hashes("_w", 5)).alias("h"))
+    ends = asked.select(shingles.edges(F.get("_w", F.lit(0)), F.element_at("_w", -1)).alias("h"))
+    rows = shingles.columns_of(made, _e0=shingles.window_edges("_w", 5))
+    got = rows.select("doc_id", shingles.edge_hits("_w", 5, "_e0", shingles.bitmap(ends), shingles.bitmap(hashes)).alias("x")).collect()
+    want = hashes.first()["h"]
+    assert {r["doc_id"]: [(x["i"], x["h"]) for x in r["x"]] for r in got} == {1: [(0, want)], 2: [], 3: []}
