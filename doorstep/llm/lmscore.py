@@ -48,7 +48,7 @@ OPEN = DEPTH + 1 - TOP
 WORD_BITS = 10
 OPEN_WORD = -(-(64 - WORD_BITS) // 8)
 #: Strings of small contexts that a task works on at a time, and copies it holds before it folds them.
-STRINGS, COPIES = 200_000, 2_000_000
+STRINGS, COPIES = 100_000, 2_000_000
 
 
 def coded(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +97,9 @@ def ordered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray]]:
     """The distinct values of all parts in order, and for each part the places of its values among them."""
-    known, _ = ordered(np.concatenate([values for values, _ in parts]))
+    known = np.concatenate([values for values, _ in parts])
+    known.sort(kind="stable")  # merges what each part holds in order, without a hash table
+    known = known[np.diff(known, prepend=known[:1] - 1) != 0]
     return known, [np.searchsorted(known, values).astype(np.int32)[code] for values, code in parts]
 
 
@@ -147,7 +149,7 @@ def batches(docs: DataFrame, size: int = BATCH, chunk: int = CHUNK) -> DataFrame
                 train = ~part.column("held_out").to_numpy(zero_copy_only=False)
                 for held, values, first in zip(found, (words.hashes.view(np.int64), strings(body, starts)), (words.first, starts)):
                     known, code = ordered(values)
-                    held.append((known, np.bincount(code, weights=np.repeat(train, np.diff(first)), minlength=len(known))))
+                    held.append((known, np.bincount(code, weights=np.repeat(train, np.diff(first)), minlength=len(known)).astype(np.int32)))
                 bodies.append(body.tobytes())
                 firsts.append(starts[1:] + end)
                 end += len(body)
@@ -180,20 +182,17 @@ def block(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
 
 
 class Subtrees:
-    """Nodes of depth ``TOP`` and more of the strings of one task, every string eight decisions.
+    """Nodes of depth ``top`` and more of some strings, every string eight decisions."""
 
-    ``TOP`` bytes of context stay together in a task; what is above is summed up from the tasks.
-    """
-
-    def __init__(self, h: np.ndarray, c: np.ndarray):
-        k = np.arange(8)
+    def __init__(self, h: np.ndarray, c: np.ndarray, top: int = TOP + 1):
+        self.top, k = top, np.arange(8)
         sym = (h & 255)[:, None]
         self.at = ((256 | sym) >> (8 - k)).ravel()
         self.bit = ((sym >> (7 - k)) & 1).ravel()
         weight = np.repeat(c, 8).astype(np.float64)
         self.levels = {}
         below = None
-        for depth in range(DEPTH, TOP - 1, -1):
+        for depth in range(DEPTH, top - 1, -1):
             code, names = pd.factorize((h[:, None] >> (8 * (DEPTH + 1 - depth)) << 8 | self.at.reshape(-1, 8)).ravel())
             n1 = np.bincount(code, weights=weight * self.bit, minlength=len(names))
             n = np.bincount(code, weights=weight, minlength=len(names))
@@ -206,21 +205,69 @@ class Subtrees:
                 mix = np.logaddexp(kt, np.bincount(code[below[0]], weights=below[1], minlength=len(names))) - np.log(2)
                 own = np.exp(kt - np.log(2) - mix)
             below = first, mix
-            self.levels[depth] = code, names, n - n1, n1, mix, own
+            self.levels[depth] = code.astype(np.int32), names, n - n1, n1, mix, own
 
     def probabilities(self) -> np.ndarray:
-        """Of each decision, as the nodes of depth TOP see it."""
+        """Of each decision, as the nodes of depth ``top`` see it."""
         p = np.full(len(self.bit), 0.5)
-        for depth in range(DEPTH, TOP - 1, -1):
+        for depth in range(DEPTH, self.top - 1, -1):
             code, _, n0, n1, _, own = self.levels[depth]
             one = ((n1 + 0.5) / (n0 + n1 + 1))[code]
             p = own[code] * np.where(self.bit == 1, one, 1 - one) + (1 - own[code]) * p
         return p
 
 
+class Contexts:
+    """Nodes of depth ``TOP`` of the strings of whole contexts, from the ``Subtrees`` of ``STRINGS`` strings at a time.
+
+    ``TOP`` bytes of context stay together in a task; what is above is summed up from the tasks. A
+    large context is cut where its next byte changes, so that only sums of a cut stay when the next begins."""
+
+    def __init__(self, h: np.ndarray, c: np.ndarray, scored: bool):
+        new = np.flatnonzero(np.diff(h >> (8 * (OPEN - 1)))) + 1
+        cuts, nodes, self.p, self.names = [0], [], [], None
+        for i, j in zip(np.append(0, new), np.append(new, len(h))):
+            if j - cuts[-1] > STRINGS and i > cuts[-1]:
+                cuts.append(i)
+        cuts.append(len(h))
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            tree = Subtrees(h[i:j], c[i:j])
+            _, names, n0, n1, mix, _ = tree.levels[TOP + 1]
+            nodes.append((names >> 16 << 8 | names & 255, n0, n1, mix))
+            if scored:
+                self.p.append(tree.probabilities())
+        names, n0, n1, below = (np.concatenate(x) for x in zip(*nodes))
+        self.names, place = ordered(names)
+        self.n0, self.n1, below = (np.bincount(place, weights=x, minlength=len(self.names)) for x in (n0, n1, below))
+        kt = block(self.n0, self.n1)
+        self.mix = np.logaddexp(kt, below) - np.log(2)
+        self.own = np.exp(kt - np.log(2) - self.mix)
+        self.h, self.cuts = h, cuts
+
+    def scores(self, tops: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """log10 of the probability of each string's last byte, ``tops`` being the levels above."""
+        out = []
+        for i, j, p in zip(self.cuts[:-1], self.cuts[1:], self.p):
+            sym = (self.h[i:j] & 255)[:, None]
+            at, bit = ((256 | sym) >> (8 - np.arange(8))).ravel(), ((sym >> (7 - np.arange(8))) & 1).ravel()
+            place = np.searchsorted(self.names, np.repeat(self.h[i:j] >> (8 * OPEN), 8) << 8 | at)
+            names = np.repeat(self.h[i:j] >> (8 * DEPTH), 8) << 8 | at
+            for one, own, where in [((self.n1 + 0.5) / (self.n0 + self.n1 + 1), self.own, place),
+                                    *((one, own, names & (len(one) - 1)) for one, own in tops)]:
+                p = own[where] * np.where(bit == 1, one[where], 1 - one[where]) + (1 - own[where]) * p
+            out.append(np.log10(p).reshape(-1, 8).sum(axis=1))
+        return np.concatenate(out)
+
+
 def _folded(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    known, place = ordered(np.concatenate(keys))
-    return known, np.bincount(place, weights=np.concatenate(counts), minlength=len(known)).astype(np.int64)
+    """The distinct keys of lists in order, and the sums of their counts: the lists are merged, without a hash table."""
+    known, total = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
+    if not len(known):
+        return known, total
+    order = np.argsort(known, kind="stable")
+    known, total = known[order], total[order]
+    new = np.flatnonzero(np.concatenate([[True], known[1:] != known[:-1]]))
+    return known[new], np.add.reduceat(total, new)
 
 
 def _rows(rows: Iterator[tuple], schema: pa.Schema, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
@@ -284,8 +331,8 @@ def string_scores(totals: DataFrame) -> DataFrame:
     """(b, k, s): for each context its strings and log10 of the probability of their last bytes."""
     def roots(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, h, c in _gathered(parts):
-            _, names, n0, n1, mix, _ = Subtrees(h, c).levels[TOP]
-            upper = pd.DataFrame({"name": names >> 16 << 8 | names & 255, "n0": n0, "n1": n1, "mix": mix})
+            tree = Contexts(h, c, False)
+            upper = pd.DataFrame({"name": tree.names >> 16 << 8 | tree.names & 255, "n0": tree.n0, "n1": tree.n1, "mix": tree.mix})
             yield pa.RecordBatch.from_pandas(upper.groupby("name", as_index=False).sum(), preserve_index=False)
     nodes = totals.mapInArrow(roots, "name bigint, n0 double, n1 double, mix double")
     # a name is now a context of one byte and then the bits: 256 x 256 nodes at most
@@ -302,13 +349,7 @@ def string_scores(totals: DataFrame) -> DataFrame:
     def logs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def whole() -> Iterator[tuple]:
             for contexts, sizes, h, c in _gathered(parts):
-                tree = Subtrees(h, c)
-                p = tree.probabilities()
-                names = np.repeat(h >> (8 * DEPTH), 8) << 8 | tree.at
-                for one, own in tops:
-                    at = names & (len(one) - 1)
-                    p = own[at] * np.where(tree.bit == 1, one[at], 1 - one[at]) + (1 - own[at]) * p
-                s = np.log10(p).reshape(-1, 8).sum(axis=1)
+                s = Contexts(h, c, True).scores(tops)
                 first = np.concatenate([[0], np.cumsum(sizes)])
                 for b, i, j in zip(contexts, first[:-1], first[1:]):
                     yield b, planes(h[i:j], OPEN), float_planes(s[i:j])
