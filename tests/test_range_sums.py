@@ -43,3 +43,15 @@ def test_a_wrong_counter_is_caught(spark, model):
     assert {r.mismatches for r in Q.pit_mismatches(gone).collect()} == {1}
     whole = {**tables, "fct_customer_state_at_session": state}
     assert Q.pit_integrity(whole).first().status == "PASS"
+
+
+def test_keys_of_few_instants_post_no_nodes(spark):
+    few = spark.range(900).select((F.col("id") % 90).cast("string").alias("k"), F.col("id").alias("t"), F.lit(1).alias("n"))
+    sums = totals_before(few, few, "k", "t", ["n"], 16)
+    assert {(r.k, r.t): r.n for r in sums.collect()} == {(str(i % 90), i): i // 90 for i in range(900)}
+    made = sums._jdf.queryExecution().executedPlan().finalPhysicalPlan().toString()
+    assert "Generate" not in made
+    busy = few.unionByName(spark.range(500).select(F.lit("0").alias("k"), (F.col("id") * 3 + 1).alias("t"), F.lit(1).alias("n")))
+    got = {(r.k, r.t): r.n for r in totals_before(busy, busy, "k", "t", ["n"], 16).collect()}
+    rows = [tuple(r) for r in busy.collect()]
+    assert got == {(k, t): sum(a == k and b < t for a, b, _ in rows) for k, t, _ in rows}
