@@ -223,10 +223,10 @@ def trace_reconstruction(m):
 
 
 register("audit_sample_summary")(lambda m: traces.audit_summary(
-    traces.audit_sample(keep(traces.scored_sessions(m)))))
-register("planted_effect")(lambda m: traces.planted_effect(traces.scored_sessions(m)))
+    traces.audit_sample(keep(traces.scored_sessions(m, terms=False)))))
+register("planted_effect")(lambda m: traces.planted_effect(traces.scored_sessions(m, terms=False)))
 register("average_marginal_effect")(lambda m: traces.average_marginal_effect(
-    traces.scored_sessions(m).where(F.col("p_rto_final").isNotNull()).select(
+    traces.scored_sessions(m, terms=False).where(F.col("p_rto_final").isNotNull()).select(
         (F.col("rto_lp") - F.when(F.col("payment_method") == "COD",
                                   P.RTO_COEFFICIENTS["is_cod"]).otherwise(0.0)).alias("off")),
     "off", P.RTO_COEFFICIENTS["is_cod"]))
@@ -235,7 +235,7 @@ register("average_marginal_effect")(lambda m: traces.average_marginal_effect(
 @register("recalibrated_intercept")
 def recalibrated_intercept(m):
     """Shift that brings the mean return probability to its declared blended target."""
-    lp = cut(traces.scored_sessions(m).where(F.col("p_rto_final").isNotNull())
+    lp = cut(traces.scored_sessions(m, terms=False).where(F.col("p_rto_final").isNotNull())
                     .select("rto_lp"))
     target = P.CALIBRATION["rto_rate_blended"][0]
     r = traces.recalibrate(lp, "rto_lp", target, bracket=P.INTERCEPT_BRACKETS["rto"],
