@@ -45,6 +45,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import session_settings
 from .common import Words, by_size, components, mixed, small_batches, staged, table, text_of, windows
 
 SHINGLE, PERCENT = 5, 80
@@ -58,6 +59,9 @@ MANY = 65535
 WIDTH = 0.02
 #: One in so many of a set's tokens is asked to be shared within the prefix.
 ASKED = 5
+#: A table is sent to all only if Spark sizes it below so many bytes. It counts a list as one value, so a table
+#: of exploded tokens is many times its estimate, and what is sent passes through the driver.
+SENT = 256 << 10
 
 
 def prefix(n: np.ndarray | Column, percent: int) -> tuple:
@@ -363,7 +367,15 @@ def set_classes(sets: DataFrame, percent: int) -> DataFrame:
 
 def joined(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs``."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
+    limit = min(SENT, spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
+    with session_settings(spark, dict.fromkeys(
+            ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"), limit)):
+        return _joined(docs, percent, shingle, doc_id, text)
+
+
+def _joined(docs: DataFrame, percent: int, shingle: int, doc_id: str, text: str) -> DataFrame:
     body = text_of(docs, text)
     rows = docs.select(F.col(doc_id).alias("doc_id"), body.alias("_text")).withColumns(
         {"_t1": F.xxhash64("_text"), "_t2": F.xxhash64(F.lit(1), "_text")})
@@ -386,7 +398,7 @@ def joined(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, doc_
     ids = named.join(low, "class", "left").select("name", F.when(F.col("class").isNull(), F.col("low")).otherwise(
         F.col("component_id")).alias("component_id"))
     return found.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")).unionByName(
-        found.where("n > 0").join(staged(ids, "component-ids"), "name").select("doc_id", F.col("n").alias("n_shingles"), "component_id"))
+        found.where("n > 0").join(staged(ids, "component-ids").hint("merge"), "name").select("doc_id", F.col("n").alias("n_shingles"), "component_id"))
 
 
 def op11_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,3 +92,18 @@ def test_no_texts(spark):
     assert joined(spark, []) == []
     assert joined(spark, [(2, None), (1, "")]) == [(1, 0, 1), (2, 0, 2)]
     assert joined(spark, [(1, "one text only of this kind")]) == [(1, 2, 1)]
+
+
+def test_little_is_sent_to_all(spark, monkeypatch):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before, seen = spark.conf.get(key), []
+    classes = jaccard.set_classes
+    monkeypatch.setattr(jaccard, "set_classes", lambda *a: seen.append(spark.conf.get(key)) or classes(*a))
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, text + f" end{i}") for i in range(4)] + [(9, "alone here")], "doc_id long, text string")
+    out = jaccard.joined(docs)
+    # tokens are sized as one value a list, so that tables of them must not come near a driver's memory
+    assert seen == [str(256 << 10)] and spark.conf.get(key) == before
+    assert spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) is None
+    assert "Broadcast" not in out._jdf.queryExecution().sparkPlan().toString()
+    assert {r.doc_id: r.component_id for r in out.collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 9: 9}
