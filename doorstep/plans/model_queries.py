@@ -20,10 +20,8 @@ def split_of(m):
 
 def prepared(m, model: str):
     """Scored train and test sides of one scorecard."""
-    split = split_of(m)
-    train, test = split.train.persist(), split.test.persist()
-    card = models.fit_scorecard(train, model)
-    return card, train, test
+    split = split_of(m)  # both sides are read from what it has written
+    return models.fit_scorecard(split.train, model), split.train, split.test
 
 
 _VIEW = """
@@ -118,8 +116,6 @@ def scoreboard(m, model: str):
         row = evaluate.summarise(card.score(side, keep), "score", "rto_flag", "session_id",
                                  f"{model} scorecard - {name}")
         rows = row if rows is None else rows.unionByName(row)
-    train.unpersist()
-    test.unpersist()
     return rows
 
 
